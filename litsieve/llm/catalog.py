@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litsieve.llm import truncation
+from litsieve.llm import clusters, truncation
 from litsieve.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _on(truncation.cut_abstracts, "papers"),
         "p1_share_by_database": _on(truncation.truncation_report, "papers"),
+        "p6_found": _on(clusters.paper_groups, "papers", "match_pairs"),
+        "p6_group_sizes": _on(clusters.group_sizes, "papers", "match_pairs"),
     }
 
 
