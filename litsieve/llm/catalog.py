@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litsieve.llm import clusters, truncation
+from litsieve.llm import clusters, consensus, truncation
 from litsieve.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,9 @@ def queries() -> dict[str, Query]:
         "p1_found": _on(truncation.cut_abstracts, "papers"),
         "p1_share_by_database": _on(truncation.truncation_report, "papers"),
         "p6_found": _on(clusters.paper_groups, "papers", "match_pairs"),
+        "p7_found": _on(consensus.paper_decisions, "conflict_resolutions"),
+        "p7_agreement": _on(consensus.paper_agreement, "conflict_resolutions"),
+        "p7_reviewers": _on(consensus.reviewer_reliability, "conflict_resolutions"),
         "p6_group_sizes": _on(clusters.group_sizes, "papers", "match_pairs"),
     }
 
