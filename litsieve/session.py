@@ -75,3 +75,17 @@ def release(df: DataFrame | None) -> None:
         jvm = df.sparkSession._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = 200_000) -> DataFrame:
+    """``big`` joined with ``small``, which has each key once. ``small`` is written and counted: up to ``max_rows``
+    it is broadcast; beyond that the join is salted, so that a key that holds much of ``big`` is spread."""
+    from pyspark.sql import functions as F
+
+    small = materialize(small, "small")
+    if small.count() <= max_rows:
+        return big.join(F.broadcast(small), on, how)
+    salts = 16
+    left = big.withColumn("_salt", (F.rand(seed=7) * salts).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
