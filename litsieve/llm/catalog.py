@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litsieve.llm import clusters, consensus, truncation
+from litsieve.llm import clusters, consensus, survivor, truncation
 from litsieve.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _on(truncation.cut_abstracts, "papers"),
         "p1_share_by_database": _on(truncation.truncation_report, "papers"),
+        "p5_found": _on(survivor.surviving_rows, "papers", "match_pairs"),
+        "p5_records": _on(survivor.surviving_records, "papers", "match_pairs"),
         "p6_found": _on(clusters.paper_groups, "papers", "match_pairs"),
         "p7_found": _on(consensus.paper_decisions, "conflict_resolutions"),
         "p7_agreement": _on(consensus.paper_agreement, "conflict_resolutions"),
