@@ -27,15 +27,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsieve.session import materialize
+from litsieve.session import join_checked, materialize
 
-ORDERS = (3, 4, 5, 6, 8, 11, 14, 17, 20, 24, 30)
+#: Each order's hash is made of two shorter ones: (order, the longer part, the part before it).
+PARTS = ((3, 0, 0), (4, 3, 1), (6, 3, 3), (8, 4, 4), (11, 8, 3), (14, 11, 3), (18, 14, 4), (22, 18, 4), (30, 22, 8))
+ORDERS = tuple(p[0] for p in PARTS)
 #: Characters at the end of a text that its score depends on.
 TAIL = 200
 #: Occurrences from which a context's counts are trusted.
 SEEN = 8
 BITS = 1 << 22
-LONG = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0x9E3779B97F4A7C15
+#: Characters that are counted together.
+CHUNK = 3_000_000
 
 #: Words by which the language of a text's end is told (fixed values).
 WORDS = {
@@ -50,7 +54,6 @@ MARK = re.compile(r"(?:\s*(?:\.{3,}|…|[\[(](?:\.{3}|…|(?:read |see |show )?m
 TAGS = re.compile(r"<[^<>]{0,200}>")
 WORD = re.compile(r"[^\W\d_]+")
 DIGITS = {ord(c): "0" for c in "123456789"}
-FINAL = np.frombuffer(b".!?", np.uint8)
 
 
 def _clean(text: str) -> str:
@@ -71,132 +74,167 @@ def _language(end: str) -> int:
     return best
 
 
+def _read(text: str | None, tail: bool = False) -> tuple[str, bool, int] | None:
+    """(cleaned text with all digits 0, whether an ellipsis ended it, language), or None for no text. With
+    ``tail``, only what its end depends on."""
+    if not isinstance(text, str) or len(text) < 2:
+        return None
+    whole = len(text) <= 4 * TAIL
+    t = _clean(text if whole or not tail else text[-4 * TAIL :])
+    if len(t) < 2 or len(t) < 60 and PLACEHOLDER.match(t):
+        return None
+    cut = MARK.search(t[-40:]) if t[-1] in ".…)]" else None
+    if cut:
+        t = t[: max(len(t) - 40, 0) + cut.start()].rstrip()
+        if not t:
+            return None
+    end = t[-TAIL:]
+    return (end if tail else t).translate(DIGITS), bool(cut), _language(end)
+
+
 class _Block:
-    """Cleaned texts of one Arrow batch as one array of UTF-16 code units, with a hash per order and position."""
-
-    def __init__(self, texts: pd.Series):
-        self.row, self.marked, parts, self.lang, self.tail = [], [], [], [], []
-        for i, t in enumerate(texts):
-            if not isinstance(t, str):
-                continue
-            t = _clean(t)
-            if len(t) < 2 or PLACEHOLDER.match(t):
-                continue
-            cut = MARK.search(t) if t[-1] in ".…)]" else None
-            if cut:
-                t = t[: cut.start()].rstrip()
-                if not t:
-                    continue
-            self.row.append(i)
-            self.marked.append(bool(cut))
-            self.lang.append(_language(t[-TAIL:]))
-            parts.append(t.translate(DIGITS))
-        self.n = len(parts)
+    """Cleaned texts as one array of UTF-16 code units with the ends and languages of the texts."""
+
+    def __init__(self, read: list[tuple[str, bool, int]]):
         pad = "\x00" * max(ORDERS)  # contexts never reach into the text before
-        joined = pad + pad.join(parts) + "\x00"
-        self.a = np.frombuffer(joined.encode("utf-16-le", "replace"), np.uint16).astype(np.uint64)
+        self.marked = np.array([r[1] for r in read], bool)
+        self.lang = np.array([r[2] for r in read], np.int64)
+        parts = [r[0] for r in read]
+        self.a = np.frombuffer((pad + pad.join(parts) + "\x00").encode("utf-16-le", "replace"), np.uint16)
         lens = np.array([len(p) if p.isascii() else len(p.encode("utf-16-le", "replace")) // 2 for p in parts], np.int64)
-        self.ends = np.cumsum(lens + len(pad)) - 1 if self.n else np.zeros(0, np.int64)  # last character of each text
+        self.ends = np.cumsum(lens + len(pad)) - 1  # last character of each text
         self.starts = self.ends - lens + 1
-
-    def hashes(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Of every position, per order, a hash of the characters that end there."""
-        a, h, done = self.a, np.zeros(len(self.a), np.uint64), 0
+        self.full: dict[int, np.ndarray] = {}
+
+    def _dense(self, order: int) -> np.ndarray:
+        """Of every position, the hash of the ``order`` characters that end there (orders up to 6)."""
+        if order not in self.full:
+            a = self.a.astype(np.uint64)
+            with np.errstate(over="ignore"):
+                if order == 1:
+                    h = a * np.uint64(BASE)
+                elif order == 3:
+                    one = self._dense(1)
+                    h = one.copy()
+                    h[1:] += one[:-1] * _power(1)
+                    h[2:] += one[:-2] * _power(2)
+                else:
+                    _, long, rest = next(p for p in PARTS if p[0] == order)
+                    h = self._dense(long).copy()
+                    h[long:] += self._dense(rest)[:-long] * _power(long)
+            self.full[order] = h
+        return self.full[order]
+
+    def _sparse(self, order: int, at: np.ndarray) -> np.ndarray:
+        if order <= 4:
+            return self._dense(order)[at]
+        _, long, rest = next(p for p in PARTS if p[0] == order)
         with np.errstate(over="ignore"):
-            for k, order in enumerate(ORDERS):
-                for j in range(done, order):
-                    mult = np.uint64(pow(int(LONG), j + 1, 1 << 64))
-                    if j:
-                        h[j:] += a[:-j] * mult
-                    else:
-                        h += a * mult
-                done = order
+            return self._sparse(long, at) + self._sparse(rest, at - long) * _power(long)
+
+    def contexts(self, at: np.ndarray, wanted=None):
+        """Per order the hashes at the positions ``at``; with ``wanted``, only of positions whose shorter contexts
+        were wanted too (a final context's endings are final contexts). Yields (order number, positions, hashes)."""
+        short: dict[int, np.ndarray] = {}
+        for k, (order, long, rest) in enumerate(PARTS):
+            with np.errstate(over="ignore"):
+                h = self._sparse(order, at) if order <= 4 else short[long] + self._sparse(rest, at - long) * _power(long)
                 x = h ^ (h >> np.uint64(29))
                 x = x * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
-                yield k, x ^ (x >> np.uint64(32))
+                x ^= x >> np.uint64(32)
+            if wanted is not None:
+                keep = np.flatnonzero(wanted[(x & np.uint64(BITS - 1)).astype(np.int64)])
+                at, h, x = at[keep], h[keep], x[keep]
+                short = {o: v[keep] for o, v in short.items()}
+            short[order] = h
+            yield k, at, x
 
     def boundaries(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions that count, and which of them are boundaries."""
+        """Positions that count, and which of all positions are boundaries."""
         a = self.a
         text = a != 0
-        nxt, nxt2 = np.r_[a[1:], 0], np.r_[a[2:], 0, 0]
-        final = np.isin(a, FINAL.astype(np.uint64))
+        nxt, nxt2 = np.append(a[1:], 0), np.append(a[2:], [0, 0])
+        final = (a == 46) | (a == 33) | (a == 63)
         upper = ((nxt2 >= 65) & (nxt2 <= 90)) | ((nxt2 >= 0xBF) & (nxt2 <= 0xDE)) | (nxt2 == 0x201C)
         end = final & (nxt == 32) & upper | text & (nxt == 0)
-        bare = np.r_[end[1:] & final[1:], False] & text & ~final  # its final mark may be left out
-        return text & (a != 32), end | bare
+        bare = np.append((end & final)[1:], False) & text & ~final  # its final mark may be left out
+        return np.flatnonzero(text & (a != 32)), end | bare
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(BASE, n, 1 << 64))
 
 
-def _bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words = np.zeros(BITS // 64, np.uint64)
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[_Block]:
+    got, size = [], 0
     for pdf in batches:
-        b = _Block(pdf["text"])
-        for k, h in b.hashes():
-            at = h[b.ends] % np.uint64(BITS)
-            np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    i = np.flatnonzero(words)
-    yield pd.DataFrame({"word": i.astype(np.int32), "bits": words[i].view(np.int64)})
+        for t in pdf["text"]:
+            r = _read(t)
+            if r:
+                got.append(r)
+                size += len(r[0])
+                if size >= CHUNK:
+                    yield _Block(got)
+                    got, size = [], 0
+    if got:
+        yield _Block(got)
 
 
 def _counter(bits: np.ndarray):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool)
-        for pdf in batches:
-            b = _Block(pdf["text"])
-            if not b.n:
-                continue
-            counts, end = b.boundaries()
-            lang = np.zeros(len(b.a), np.int8)
-            for s, e, g in zip(b.starts, b.ends, b.lang):
+        for b in _chunks(batches):
+            at, end = b.boundaries()
+            lang = np.zeros(len(b.a), np.uint8)
+            for s, e, g in zip(b.starts.tolist(), b.ends.tolist(), b.lang.tolist()):
                 lang[s : e + 1] = g
-            at = np.flatnonzero(counts)
-            end, lang = end[at], lang[at]
-            for g in range(len(LANGUAGES)):  # totals, at order -1
-                own = lang == g
-                if own.any():
-                    yield pd.DataFrame({"lang": [g], "ord": [-1], "hash": [0], "n": [int(own.sum())], "ends": [int(end[own].sum())]})
-            for k, h in b.hashes():
-                h = h[at]
-                keep = np.flatnonzero(wanted[h % np.uint64(BITS)])
-                if not len(keep):
-                    continue
-                key = h[keep] - h[keep] % np.uint64(8) + lang[keep].astype(np.uint64)  # the language in the low bits
-                key, inv = np.unique(key, return_inverse=True)
-                n = np.bincount(inv, minlength=len(key))
-                e = np.bincount(inv, weights=end[keep], minlength=len(key)).astype(np.int64)
-                yield pd.DataFrame(
-                    {"lang": (key % np.uint64(8)).astype(np.int32), "ord": k, "hash": (key - key % np.uint64(8)).view(np.int64), "n": n, "ends": e}
-                )
+            n = np.bincount(lang[at], minlength=len(LANGUAGES))
+            e = np.bincount(lang[at], weights=end[at], minlength=len(LANGUAGES)).astype(np.int64)
+            out = [pd.DataFrame({"lang": np.arange(len(LANGUAGES)), "ord": -1, "hash": 0, "n": n, "ends": e})]  # totals
+            for k, pos, x in b.contexts(at, wanted):
+                key = (x & ~np.uint64(7)) | lang[pos]  # the language in the low bits
+                codes, keys = pd.factorize(key)
+                n = np.bincount(codes, minlength=len(keys))
+                e = np.bincount(codes[end[pos]], minlength=len(keys))
+                out.append(pd.DataFrame({"lang": (keys & np.uint64(7)).astype(np.int32), "ord": k, "hash": (keys & ~np.uint64(7)).view(np.int64), "n": n, "ends": e}))
+            yield pd.concat(out, ignore_index=True)
 
     return count
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _finals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        b = _Block(pdf["text"])
-        out = pd.DataFrame({"id": pdf["id"].to_numpy()[b.row], "source": pdf["source"].to_numpy()[b.row], "lang": np.array(b.lang, np.int32), "marked": b.marked})
-        for k, h in b.hashes():
-            h = h[b.ends]
-            out[f"h{k}"] = (h - h % np.uint64(8)).view(np.int64)
+        got = [_read(t, tail=True) for t in pdf["text"]]
+        row = [i for i, r in enumerate(got) if r]
+        if not row:
+            continue
+        b = _Block([got[i] for i in row])
+        out = pd.DataFrame({"id": pdf["id"].to_numpy()[row], "source": pdf["source"].to_numpy()[row], "length": pdf["length"].to_numpy()[row], "digest": pdf["digest"].to_numpy()[row], "lang": b.lang.astype(np.int32), "marked": b.marked})
+        for k, _, x in b.contexts(b.ends):
+            out[f"b{k}"] = (x & np.uint64(BITS - 1)).astype(np.int32)
+            out[f"h{k}"] = (x & ~np.uint64(7)).view(np.int64)
         yield out
 
 
 def truncation_scores(texts: DataFrame) -> DataFrame:
-    """(id, source, lang, marked, score) of every text (columns id, source, text) that isn't null, blank or a
+    """(id, source, lang, length, digest, marked, score) of every text (columns id, source, text) that isn't null, blank or a
     placeholder. ``score`` is null for a text with an ellipsis at its end."""
     spark = texts.sparkSession
     texts = texts.where(F.length("text") > 1)
+    ks = range(len(ORDERS))
+    names = [f"h{k}" for k in ks]
+    ctx = texts.select("id", "source", "text", F.length("text").alias("length"), F.xxhash64("text").alias("digest")).mapInPandas(
+        _finals, f"id {texts.schema['id'].dataType.simpleString()}, source string, length int, digest bigint, lang int, marked boolean, " + ", ".join(f"b{k} int, h{k} bigint" for k in ks)
+    )
+    ctx = materialize(ctx, "finals")
     # 512 kB at most, whatever the number of texts
-    rows = texts.select("text").mapInPandas(_bits, "word int, bits bigint").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).collect()
+    b = ctx.select(F.explode(F.array(*[f"b{k}" for k in ks])).alias("b"))
+    rows = b.groupBy(F.shiftright("b", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, b & 63))").alias("bits")).toPandas()
     bits = np.zeros(BITS // 64, np.int64)
-    for r in rows:
-        bits[r.word] = r.bits
+    bits[rows["word"].to_numpy(int)] = rows["bits"].to_numpy(np.int64)
     counts = texts.select("text").mapInPandas(_counter(bits), "lang int, ord int, hash bigint, n bigint, ends bigint")
     counts = materialize(counts.groupBy("lang", "ord", "hash").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")), "contexts")
-    totals = {r.lang: (r.n, r.ends) for r in counts.where("ord = -1").collect()}  # a row per language
-    names = [f"h{k}" for k in range(len(ORDERS))]
-    ctx = texts.mapInPandas(_contexts, f"id {texts.schema['id'].dataType.simpleString()}, source string, lang int, marked boolean, " + ", ".join(f"{n} bigint" for n in names))
-    ctx = materialize(ctx, "finals")
+    totals = {r.lang: (r.n, r.ends) for r in counts.where("ord = -1 and n > 0").collect()}  # a row per language
     # texts that end alike are scored once: contexts that many share stay small
     finals = ctx.where("not marked").select("lang", *names).distinct()
     long = finals.select("lang", F.col(names[-1]).alias("last"), F.posexplode(F.array(*names)).alias("ord", "hash"))
@@ -220,7 +258,7 @@ def truncation_scores(texts: DataFrame) -> DataFrame:
     score = score.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     ctx = ctx.withColumn("last", F.col(names[-1])).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
     out = ctx.join(score, ["lang", "last", "salt"], "left")
-    return out.select("id", "source", F.element_at(F.array(*map(F.lit, LANGUAGES)), F.col("lang") + 1).alias("lang"), "marked", F.when(~F.col("marked"), F.col("score")).alias("score"))
+    return out.select("id", "source", "length", "digest", F.element_at(F.array(*map(F.lit, LANGUAGES)), F.col("lang") + 1).alias("lang"), "marked", F.when(~F.col("marked"), F.col("score")).alias("score"))
 
 
 def thresholds(scores: DataFrame, rounds: int = 12) -> dict[str, float]:
@@ -245,13 +283,27 @@ def thresholds(scores: DataFrame, rounds: int = 12) -> dict[str, float]:
     return out
 
 
+def field_limits(scores: DataFrame) -> DataFrame:
+    """(source, length, bonus): lengths that many different texts of a source have and few have nearly: limits of
+    the field. ``bonus`` is the logarithm of how much more often the length occurs than its neighbours."""
+    per = scores.groupBy("source", "length").agg(F.count_distinct("digest").alias("n")).withColumn("block", F.floor(F.col("length") / 40))
+    blocks = per.groupBy("source", "block").agg(F.sum("n").alias("m"))
+    near = blocks.select("source", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), "m").groupBy("source", "block").agg(F.sum("m").alias("m"))
+    usual = (F.col("m") - F.col("n") + 1) / 119.0
+    return per.where("n >= 8").join(near, ["source", "block"]).where(F.col("n") > 8 * usual).select("source", "length", F.least(F.log(F.col("n") / usual), F.lit(2.5)).alias("bonus"))
+
+
 def truncated(texts: DataFrame) -> DataFrame:
-    """(id, source, lang, score, is_cut) of every text that was scored."""
+    """(id, source, lang, score, is_cut) of every text that was scored. A text as long as its source's field
+    limit is judged cut at a higher score than others."""
     scores = materialize(truncation_scores(texts), "scores")
     limit = F.lit(1.0)
     for lang, t in thresholds(scores).items():
         limit = F.when(F.col("lang") == lang, F.lit(t)).otherwise(limit)
-    return scores.select("id", "source", "lang", "score", (F.col("marked") | (F.coalesce("score", F.lit(0.0)) < limit)).alias("is_cut"))
+    # each source has a few limits; their number is checked before they are broadcast
+    x = join_checked(scores, field_limits(scores), ["source", "length"], "left")
+    limit = limit + F.coalesce("bonus", F.lit(0.0))
+    return x.select("id", "source", "lang", "score", (F.col("marked") | (F.coalesce("score", F.lit(0.0)) < limit)).alias("is_cut"))
 
 
 def paper_abstracts(papers: DataFrame) -> DataFrame:
