@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litsieve.llm import clusters, consensus, survivor, truncation
+from litsieve.llm import clusters, consensus, mixture, splitting, survivor, truncation
 from litsieve.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def queries() -> dict[str, Query]:
         "p7_found": _on(consensus.paper_decisions, "conflict_resolutions"),
         "p7_agreement": _on(consensus.paper_agreement, "conflict_resolutions"),
         "p7_reviewers": _on(consensus.reviewer_reliability, "conflict_resolutions"),
+        "p9_curriculum": _on(mixture.curriculum, "documents", "mixture_targets"),
+        "p9_shares": _on(mixture.shares, "documents", "mixture_targets"),
+        "p10_found": _on(splitting.oversized, "documents"),
+        "p10_pieces": _on(splitting.pieces, "documents"),
+        "p10_report": _on(splitting.piece_report, "documents"),
         "p6_group_sizes": _on(clusters.group_sizes, "papers", "match_pairs"),
     }
 
