@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litsieve.llm import clusters, consensus, mixture, splitting, survivor, truncation
+from litsieve.llm import clusters, consensus, leakage, mixture, splitting, survivor, truncation
 from litsieve.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def queries() -> dict[str, Query]:
         "p7_found": _on(consensus.paper_decisions, "conflict_resolutions"),
         "p7_agreement": _on(consensus.paper_agreement, "conflict_resolutions"),
         "p7_reviewers": _on(consensus.reviewer_reliability, "conflict_resolutions"),
+        "p8_found": _on(leakage.leaked, "documents", "eval_items"),
+        "p8_leaks": _on(leakage.leaks, "documents", "eval_items"),
+        "p8_items": _on(leakage.leaked_items, "documents", "eval_items"),
+        "p8_clean_documents": _on(leakage.clean_documents, "documents", "eval_items"),
         "p9_curriculum": _on(mixture.curriculum, "documents", "mixture_targets"),
         "p9_shares": _on(mixture.shares, "documents", "mixture_targets"),
         "p10_found": _on(splitting.oversized, "documents"),
