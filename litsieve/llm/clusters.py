@@ -26,9 +26,14 @@ LEAST_HOT = 100_000
 
 
 def hash_to_min(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(v, root) for every vertex of ``links`` (columns a, b: strings): ``root`` is the smallest vertex of its component."""
-    l = links.where("a is not null and b is not null and a <> b").select("a", "b")
-    sets = l.select(F.col("a").alias("v"), F.col("b").alias("u")).union(l.select("b", "a"))
+    """(v, root) for every vertex of ``links`` (columns a, b): ``root`` is a number that its component's vertices share.
+
+    The rounds work on numbers, which aggregate and compare faster than strings; they are given once, in a
+    written table, and are exact."""
+    l = materialize(links.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "links")
+    names = materialize(l.select(F.col("a").alias("name")).union(l.select("b")).distinct().select("name", F.monotonically_increasing_id().alias("n")), "vertices")
+    l = l.join(names.select(F.col("name").alias("a"), F.col("n").alias("x")), "a").join(names.select(F.col("name").alias("b"), F.col("n").alias("y")), "b").select("x", "y")
+    sets = l.select(F.col("x").alias("v"), F.col("y").alias("u")).union(l.select("y", "x"))
     sets = sets.union(sets.select("v", "v")).distinct()
     sets = materialize(sets, "sets")
     before = None
@@ -54,8 +59,8 @@ def hash_to_min(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         release(sets)
         release(small)
         sets, before = new, now
-    out = sets.groupBy("v").agg(F.min("u").alias("root"))
-    return out
+    root = sets.groupBy("v").agg(F.min("u").alias("root"))
+    return names.join(root.withColumnRenamed("v", "n"), "n").select(F.col("name").alias("v"), "root")
 
 
 def identifier_links(papers: DataFrame, match_pairs: DataFrame) -> DataFrame:

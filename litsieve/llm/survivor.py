@@ -86,7 +86,7 @@ def grouped(papers: DataFrame, match_pairs: DataFrame) -> DataFrame:
         F.col("ordinal").cast("bigint").alias("ordinal"), "paper_id", retrieved(F.col("source.timestamp")).alias("t"),
         F.col("source.database").alias("database"), F.col("abstract"), F.col("citation_count").cast("bigint").alias("citation_count"), "open_access_pdf", "venue",
     ).where("paper_id is not null and ordinal is not null")
-    rows = rows.join(roots, "paper_id", "left").withColumn("g", F.coalesce("root", "paper_id")).drop("root")
+    rows = rows.join(roots, "paper_id", "left").withColumn("g", F.coalesce(F.concat(F.lit("group "), F.col("root").cast("string")), "paper_id")).drop("root")
     many = rows.groupBy("g").agg(F.count("*").alias("rows")).where("rows > 1")
     return materialize(rows.join(many.select("g"), "g"), "works")
 
