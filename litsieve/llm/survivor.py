@@ -27,6 +27,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litsieve.llm import clusters, truncation
 from litsieve.session import join_checked, materialize
@@ -69,7 +70,7 @@ def abbreviates(short: str | None, long: str | None) -> bool:
     return j >= len(b)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _abbreviates(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([abbreviates(x, y) for x, y in zip(a, b)])
 
@@ -79,12 +80,17 @@ def retrieved(c: Column) -> Column:
     return c.try_cast("timestamp")
 
 
+def _written(c: Column) -> Column:
+    return c.isNotNull() & (F.length(F.trim(c)) > 1) & ~c.rlike(BLANK) & ~c.rlike(r"(?i)^\W*no abstract|^\W*abstract not available")
+
+
 def grouped(papers: DataFrame, match_pairs: DataFrame) -> DataFrame:
-    """The rows of all works that have two or more: (g, ordinal, t, seen, *FIELDS). ``g`` is the work."""
+    """The rows of all works that have two or more: (g, ordinal, t, abstract_length, *FIELDS). ``g`` is the work. An
+    abstract is carried as its digest, and as null where it is a placeholder: no text is shuffled."""
     roots = materialize(clusters.groups(papers, match_pairs), "roots")
     rows = papers.select(
         F.col("ordinal").cast("bigint").alias("ordinal"), "paper_id", retrieved(F.col("source.timestamp")).alias("t"),
-        F.col("source.database").alias("database"), F.col("abstract"), F.col("citation_count").cast("bigint").alias("citation_count"), "open_access_pdf", "venue",
+        F.when(_written(F.col("abstract")), F.md5("abstract")).alias("abstract"), F.length("abstract").alias("abstract_length"), F.col("citation_count").cast("bigint").alias("citation_count"), "open_access_pdf", "venue",
     ).where("paper_id is not null and ordinal is not null")
     rows = rows.join(roots, "paper_id", "left").withColumn("g", F.coalesce(F.concat(F.lit("group "), F.col("root").cast("string")), "paper_id")).drop("root")
     many = rows.groupBy("g").agg(F.count("*").alias("rows")).where("rows > 1")
@@ -120,8 +126,7 @@ def _best(rows: DataFrame, field: str, sound: Column, rank: Column) -> DataFrame
 
 def _abstract(rows: DataFrame, cut: DataFrame) -> DataFrame:
     whole = rows.join(cut.select("ordinal", F.lit(True).alias("cut")), "ordinal", "left").withColumn("sound", F.col("cut").isNull())
-    ok = F.col("sound") & F.col("abstract").isNotNull() & (F.length(F.trim("abstract")) > 1) & ~F.col("abstract").rlike(BLANK) & ~F.col("abstract").rlike(r"(?i)^\W*no abstract|^\W*abstract not available")
-    return _best(whole, "abstract", ok, F.length("abstract"))
+    return _best(whole, "abstract", F.col("sound") & F.col("abstract").isNotNull(), F.col("abstract_length"))
 
 
 def _venue(rows: DataFrame) -> DataFrame:
@@ -170,6 +175,8 @@ def surviving_records(papers: DataFrame, match_pairs: DataFrame) -> DataFrame:
     rows, best = survivors(papers, match_pairs)
     wide = best.groupBy("g").pivot("field", list(FIELDS)).agg(F.max("value"))
     n = rows.groupBy("g").agg(F.count("*").alias("n_rows"), F.min("paper_id").alias("work_id"))
-    return n.join(wide, "g", "left").select(
+    holder = rows.join(wide.select("g", F.col("abstract").alias("best")), "g").where("abstract = best").groupBy("g").agg(F.min("ordinal").alias("ordinal"))
+    text = holder.join(papers.select(F.col("ordinal").cast("bigint").alias("ordinal"), "abstract"), "ordinal").select("g", "abstract").dropDuplicates(["g"])
+    return n.join(wide.drop("abstract"), "g", "left").join(text, "g", "left").select(
         "work_id", "n_rows", "abstract", F.col("citation_count").cast("bigint").alias("citation_count"), "open_access_pdf", "venue"
     )
