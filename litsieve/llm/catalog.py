@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litsieve.llm import clusters, consensus, crossmatch, leakage, mixture, splitting, survivor, truncation
+from litsieve.llm import clusters, consensus, crossmatch, leakage, mixture, names, splitting, survivor, truncation
 from litsieve.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,9 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _on(truncation.cut_abstracts, "papers"),
         "p1_share_by_database": _on(truncation.truncation_report, "papers"),
+        "p3_found": _on(names.same_names, "authors", "affiliations", "papers", "match_pairs"),
+        "p3_persons": _on(names.person_groups, "authors", "affiliations", "papers", "match_pairs"),
+        "p3_organisations": _on(names.organisations, "affiliations"),
         "p4_found": _on(crossmatch.matched, "library_records", "papers", "match_pairs"),
         "p4_matches": _on(crossmatch.matches, "library_records", "papers", "match_pairs"),
         "p5_found": _on(survivor.surviving_rows, "papers", "match_pairs"),

@@ -41,14 +41,13 @@ def hash_to_min(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = sets.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
         small = materialize(small, "smallest")
         # the sets' state: a round that changes none leaves both figures
-        now = small.agg(F.sum("n"), F.sum(F.xxhash64("v", "m", "n").cast("decimal(38,0)")), F.count("*")).first()
+        now = small.agg(F.sum("n"), F.sum(F.xxhash64("v", "m", "n").cast("decimal(38,0)")), F.count("*"), F.max("n")).first()
         if now == before or not now[2]:
             release(small)
             break
         limit = max(LEAST_HOT, (now[0] or 0) // MAX_HOT)
-        hot = small.where(F.col("n") > limit)
-        n_hot = hot.count()
-        if n_hot:
+        if now[3] > limit:
+            hot = small.where(F.col("n") > limit)
             hot_sets = sets.join(F.broadcast(hot.select("v", "m")), "v")
             cold_sets = sets.join(F.broadcast(hot.select("v")), "v", "left_anti").join(small.where(F.col("n") <= limit).select("v", "m"), "v")
             joined = hot_sets.unionByName(cold_sets)
