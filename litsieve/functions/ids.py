@@ -44,7 +44,7 @@ def doi_key(c: str | Column) -> Column:
     x = F.regexp_replace(F.lower(_c(c)), r"\s+", "")
     x = F.regexp_replace(x, r"^(?:https?:/+)?(?:dx\.)?(?:www\.)?(?:doi\.org/)?(?:doi:)?/*", "")
     x = F.regexp_replace(x, r"[.,;]+$", "")
-    sound = x.rlike(r"^10\.[0-9]{4,9}(?:\.[0-9]+)*/[^\s]{2,}$") & ~x.rlike(r"^10\.0+/|/(?:unknown|none|null|n/?a|na|tbd|test|x+|0+|-+)$")
+    sound = x.rlike(r"^10\.[0-9]{4,9}(?:\.[0-9]+)*/[^\s]+$") & ~x.rlike(r"^10\.0+/|/(?:unknown|none|null|n/?a|na|tbd|test|x+|0+|-+)$")
     return F.when(sound, x)
 
 
