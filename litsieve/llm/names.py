@@ -171,6 +171,8 @@ def _parse_people(known: frozenset[str]):
         for pdf in batches:
             got = [person(n, known) for n in pdf["name"]]
             keep = [i for i, g in enumerate(got) if g]
+            if not keep:
+                continue
             out = pdf.iloc[keep].drop(columns="name").reset_index(drop=True)
             for k, c in enumerate(("surname", "given", "initial", "middle")):
                 out[c] = [got[i][k] for i in keep]
@@ -183,7 +185,8 @@ def _parse_orgs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         got = [organisation(t) for t in pdf["affiliation"]]
         keep = [i for i, g in enumerate(got) if g]
-        yield pd.DataFrame({"affiliation_id": pdf["affiliation_id"].to_numpy()[keep], "affiliation": pdf["affiliation"].to_numpy()[keep], **{c: [got[i][k] for i in keep] for k, c in enumerate(("kinds", "letters", "place"))}})
+        if keep:
+            yield pd.DataFrame({"affiliation_id": pdf["affiliation_id"].to_numpy()[keep], "affiliation": pdf["affiliation"].to_numpy()[keep], **{c: [got[i][k] for i in keep] for k, c in enumerate(("kinds", "letters", "place"))}})
 
 
 def _slip_keys(c: str) -> Column:
@@ -194,17 +197,16 @@ def _slip_keys(c: str) -> Column:
 
 
 def _merge(profiles: DataFrame, stars: DataFrame) -> tuple[DataFrame, int]:
-    """(id, pid) with the profiles of every star merged, and how many were."""
-    links = materialize(stars.where("a <> b").distinct(), "stars")
-    n = links.count()
+    """(id, pid) with every profile moved to the smallest it was matched with, and how many moved. What a chain
+    leaves apart shares its keys again in the next round."""
+    moves = materialize(stars.where("a < b").groupBy("b").agg(F.min("a").alias("a")), "moves")
+    n = moves.count()
     if not n:
         return profiles, 0
-    roots = clusters.hash_to_min(links).select(F.col("v").alias("pid"), "root")
-    names = roots.groupBy("root").agg(F.min("pid").alias("new"))
-    moved = materialize(roots.join(names, "root").where("pid <> new").select("pid", "new"), "moved")
-    m = moved.count()
-    out = profiles.join(moved, "pid", "left").select("id", F.coalesce("new", "pid").alias("pid"))
-    return materialize(out, "profiles"), m
+    # one jump along chains
+    jump = moves.join(moves.select(F.col("b").alias("a"), F.col("a").alias("further")), "a", "left").select("b", F.coalesce("further", "a").alias("new"))
+    out = profiles.join(jump.withColumnRenamed("b", "pid"), "pid", "left").select("id", F.coalesce("new", "pid").alias("pid"))
+    return materialize(out, "profiles"), n
 
 
 def organisations(affiliations: DataFrame) -> DataFrame:
@@ -218,7 +220,7 @@ def organisations(affiliations: DataFrame) -> DataFrame:
         own = p.select("pid", "n", F.explode(F.array(F.concat_ws("|", "letters", "place"))).alias("key"))
         near_ = p.where(F.length("place") >= 5).select("pid", "n", F.explode(F.transform(_slip_keys("place"), lambda s: F.concat_ws("|", F.lit("slip"), F.col("letters"), s))).alias("key"))
         keys = own.unionByName(near_)
-        centre = keys.groupBy("key").agg(F.max(F.struct("n", -F.col("pid"))).alias("x"), F.count("*").alias("k")).where("k > 1").select("key", (-F.col("x.col2")).alias("a"))
+        centre = keys.groupBy("key").agg(F.min("pid").alias("a"), F.count("*").alias("k")).where("k > 1").select("key", "a")
         profiles, merged = _merge(profiles, keys.join(centre, "key").select("a", F.col("pid").alias("b")))
         if not merged:
             break
@@ -269,35 +271,39 @@ def _letters(given: Column, initial: Column) -> Column:
 def _stars(keys: DataFrame, strict: bool = True) -> DataFrame:
     """Stars of the blocks (key, pid, given, initial, middle, orcid, n) that can only mean one person."""
     b = keys.groupBy("key").agg(
-        F.max(F.struct("n", F.col("pid").alias("p"))).alias("x"), F.count("*").alias("k"), F.min("given").alias("g1"), F.max("given").alias("g2"), F.min("orcid").alias("o1"), F.max("orcid").alias("o2"),
+        F.min("pid").alias("a"), F.count("*").alias("k"), F.min("given").alias("g1"), F.max("given").alias("g2"), F.min("orcid").alias("o1"), F.max("orcid").alias("o2"),
         F.min("middle").alias("m1"), F.max("middle").alias("m2"), F.min("initial").alias("i1"), F.max("initial").alias("i2"),
     ).where("k > 1")
     one = lambda a, b_: F.col(a).isNull() | (F.col(a) == F.col(b_))
     fits = F.col("g1").isNull() & one("i1", "i2") | F.col("g1").isNotNull() & F.contains(_letters(F.col("g1"), F.lit("")), F.col("i1")) & F.contains(_letters(F.col("g1"), F.lit("")), F.col("i2"))
     fits = F.coalesce(fits, F.col("i1").isNull())
-    ok = b.where(one("o1", "o2") & ((one("g1", "g2") & one("m1", "m2") & fits) if strict else F.lit(True))).select("key", F.col("x.p").alias("a"))
+    ok = b.where(one("o1", "o2") & ((one("g1", "g2") & one("m1", "m2") & fits) if strict else F.lit(True))).select("key", "a")
     return keys.join(ok, "key").select("a", F.col("pid").alias("b"))
 
 
-def _keys(p: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(keys that hold whatever the given name, keys of blocks to be judged)."""
+def _keys(p: DataFrame, slips: bool) -> tuple[DataFrame, DataFrame]:
+    """(keys that hold whatever the given name, keys of blocks to be judged); with ``slips``, the many keys that
+    bridge a slip of the pen or an initial too."""
     base = ["pid", "given", "initial", "middle", "orcid", "n"]
-    k = lambda *c: F.concat_ws("|", *c)
+    k = F.xxhash64  # keys are hashes: they are many, and short ones shuffle and compare faster
     s2 = F.substr("surname", F.lit(1), F.lit(2))
     sure = F.array(F.when(F.col("orcid").isNotNull(), k(F.lit("orcid"), "orcid")))
     by_id = F.transform("authors", lambda a: k(F.lit("id"), a, s2))
     named = F.col("given").isNotNull()
-    at = F.transform("orgs", lambda o: k(F.lit("at"), o.cast("string"), F.col("surname"), F.coalesce("given", F.lit("-"))))
+    at = F.transform("orgs", lambda o: k(F.lit("at"), o, F.col("surname"), F.coalesce("given", F.lit("-"))))
     letters = F.split(_letters(F.col("given"), F.col("initial")), "")
-    by_letter = F.flatten(F.transform("orgs", lambda o: F.transform(F.filter(letters, lambda c: c != ""), lambda c: k(F.lit("letter"), o.cast("string"), F.col("surname"), c))))
-    slip_s = F.flatten(F.transform("orgs", lambda o: F.transform(_slip_keys("surname"), lambda s: k(F.lit("slip"), o.cast("string"), F.substr("initial", F.lit(1), F.lit(1)), s))))
-    slip_g = F.when(named, F.flatten(F.transform("orgs", lambda o: F.transform(_slip_keys("given"), lambda s: k(F.lit("given"), o.cast("string"), F.col("surname"), s)))))
-    work = F.transform("places", lambda w: k(F.lit("work"), w["work"], w["position"].cast("string"), F.substr("surname", F.lit(1), F.lit(3))))
-    work_tail = F.transform("places", lambda w: k(F.lit("work'"), w["work"], w["position"].cast("string"), F.reverse(F.substr(F.reverse("surname"), F.lit(1), F.lit(4)))))
-    work_name = F.transform("places", lambda w: k(F.lit("in"), w["work"], F.col("surname"), F.coalesce("given", F.lit("-"))))
-    none = F.array().cast("array<string>")
+    by_letter = F.flatten(F.transform("orgs", lambda o: F.transform(F.filter(letters, lambda c: c != ""), lambda c: k(F.lit("letter"), o, F.col("surname"), c))))
+    slip_s = F.flatten(F.transform("orgs", lambda o: F.transform(_slip_keys("surname"), lambda s: k(F.lit("slip"), o, F.substr("initial", F.lit(1), F.lit(1)), s))))
+    slip_g = F.when(named, F.flatten(F.transform("orgs", lambda o: F.transform(_slip_keys("given"), lambda s: k(F.lit("given"), o, F.col("surname"), s)))))
+    known = F.filter("places", lambda w: w["work"].isNotNull())
+    work = F.transform(known, lambda w: k(F.lit("work"), w["work"], F.coalesce(w["position"], F.lit(-1)), F.substr("surname", F.lit(1), F.lit(3))))
+    work_tail = F.transform(known, lambda w: k(F.lit("work'"), w["work"], F.coalesce(w["position"], F.lit(-1)), F.reverse(F.substr(F.reverse("surname"), F.lit(1), F.lit(4)))))
+    work_name = F.transform(known, lambda w: k(F.lit("in"), w["work"], F.col("surname"), F.coalesce("given", F.lit("-"))))
+    none = F.array().cast("array<bigint>")
     explode = lambda *a: F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(x, none) for x in a]))))
     free = p.select(*base, explode(sure, by_id).alias("key")).where("key is not null")
+    if not slips:
+        return free, p.select(*base, explode(F.when(named, at), work, F.when(named, work_name)).alias("key"))
     plain = p.select(*base, explode(F.when(named, at), by_letter, slip_s, work, work_tail, F.when(named, work_name)).alias("key"))
     # two spellings of a given name one slip apart are one, so they are judged without it
     given = p.withColumn("key", explode(slip_g)).select("pid", F.lit(None).cast("string").alias("given"), F.lit(None).cast("string").alias("initial"), "middle", "orcid", "n", "key")
@@ -311,10 +317,10 @@ def _last_keys(m: DataFrame, profiles: DataFrame, p: DataFrame) -> DataFrame:
     x = m.join(profiles, "id").select("ordinal", "position", "pid")
     around = x.select("ordinal", F.explode(F.array(*[F.col("position") + d for d in (-3, -2, -1, 1, 2, 3)])).alias("position"), F.col("pid").alias("other"))
     pairs = x.join(around, ["ordinal", "position"]).select("pid", "other").distinct()
-    who = F.concat_ws("|", F.lit("with"), "surname", F.coalesce("given", F.lit("-")), F.col("other").cast("string"))
+    who = F.xxhash64(F.lit("with"), "surname", F.coalesce("given", F.lit("-")), "other")
     with_ = pairs.join(p, "pid").where("given is not null").select(*base, who.alias("key"))
-    name = F.when(F.col("given").isNotNull(), F.concat_ws("|", F.lit("name"), "surname", "given"))
-    letter = F.transform(F.filter(F.split(_letters(F.col("given"), F.col("initial")), ""), lambda c: c != ""), lambda c: F.concat_ws("|", F.lit("short"), "surname", c))
+    name = F.when(F.col("given").isNotNull(), F.xxhash64(F.lit("name"), "surname", "given"))
+    letter = F.transform(F.filter(F.split(_letters(F.col("given"), F.col("initial")), ""), lambda c: c != ""), lambda c: F.xxhash64(F.lit("short"), F.col("surname"), c))
     alone = p.select(*base, "main_org", F.explode(F.concat(F.array(name), letter)).alias("key")).where("key is not null")
     homes = alone.groupBy("key").agg(F.count_if(F.col("main_org").isNotNull() | F.col("orcid").isNotNull()).alias("homes")).where("homes <= 1")
     return with_.unionByName(alone.join(homes, "key").select(*base, "key"))
@@ -323,20 +329,19 @@ def _last_keys(m: DataFrame, profiles: DataFrame, p: DataFrame) -> DataFrame:
 def people(m: DataFrame) -> DataFrame:
     """(id, pid): the mentions of one person share ``pid``."""
     profiles = materialize(m.select("id", F.col("id").alias("pid")), "profiles")
-    last = False
-    for _ in range(MAX_ROUNDS * 2):
-        p = materialize(_profiles(m, profiles), "described")
-        if last:
-            stars = _stars(_last_keys(m, profiles, p))
-        else:
-            free, judged = _keys(p)
-            stars = _stars(free, strict=False).unionByName(_stars(judged))
-        profiles, merged = _merge(profiles, stars)
-        release(p)
-        if not merged:
-            if last:
+    for phase in ("strong", "strong", "all", "name"):
+        for _ in range(1 if phase == "strong" else MAX_ROUNDS):
+            p = materialize(_profiles(m, profiles), "described")
+            if phase == "name":
+                stars = _stars(_last_keys(m, profiles, p))
+            else:
+                free, judged = _keys(p, phase == "all")
+                stars = _stars(free, strict=False).unionByName(_stars(judged))
+            old, (profiles, moved) = profiles, _merge(profiles, stars)
+            release(p)
+            if not moved:
                 break
-            last = True
+            release(old)
     return profiles
 
 

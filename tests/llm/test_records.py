@@ -57,7 +57,7 @@ def papers(spark, *rows):
 
 
 def test_paper_groups(spark):
-    p = papers(spark, {"doi": "10.10/a1"}, {"doi": "https://doi.org/10.10/A1"}, {"doi": "n/a"}, {"doi": "N/A", "arxiv_id": "arXiv:2401.00001v2"}, {"arxiv_id": "2401.00001"}, {"paper_id": "z"}, {"paper_id": "y"}, {"doi": "10.0000/unknown"}, {"doi": "10.0000/unknown"})
+    p = papers(spark, {"doi": "10.1010/a1"}, {"doi": "https://doi.org/10.1010/A1"}, {"doi": "n/a"}, {"doi": "N/A", "arxiv_id": "arXiv:2401.00001v2"}, {"arxiv_id": "2401.00001"}, {"paper_id": "z"}, {"paper_id": "y"}, {"doi": "10.0000/unknown"}, {"doi": "10.0000/unknown"})
     m = spark.createDataFrame([("z", "gone", "x"), ("gone", "y", "x"), ("p3", "p3", "x"), (None, "p3", "x"), ("p3", "elsewhere", "x")], PAIRS)
     got = sorted((r.paper_id, r.group_id) for r in clusters.paper_groups(p, m).collect())
     assert got == [("p1", "p1"), ("p2", "p1"), ("p4", "p4"), ("p5", "p4"), ("y", "y"), ("z", "y")]
@@ -69,10 +69,10 @@ WHOLE = "The trial compared early coaching with usual care in rural clinics and
 
 def test_survivors(spark):
     rows = [
-        {"doi": "10.10/a", "abstract": WHOLE, "citation_count": 5, "open_access_pdf": "https://x.org/a.pdf", "venue": "J Screen Meth", "t": "2025-01-01T00:00:00Z"},
-        {"doi": "10.10/a", "abstract": WHOLE[:40] + "...", "citation_count": 9, "open_access_pdf": "x.org/login", "venue": "Journal of Screening Methods", "t": "2025-03-01T00:00:00+00:00"},
-        {"doi": "10.10/a", "abstract": None, "citation_count": 0, "open_access_pdf": "https://x.o", "venue": "Journal of Screen...", "t": "2025-04-01T00:00:00.000000"},
-        {"doi": "10.10/a", "abstract": "n/a", "citation_count": 7, "open_access_pdf": "", "venue": "arXiv", "t": "2025-02-01T00:00:00"},
+        {"doi": "10.1010/a", "abstract": WHOLE, "citation_count": 5, "open_access_pdf": "https://x.org/a.pdf", "venue": "J Screen Meth", "t": "2025-01-01T00:00:00Z"},
+        {"doi": "10.1010/a", "abstract": WHOLE[:40] + "...", "citation_count": 9, "open_access_pdf": "x.org/login", "venue": "Journal of Screening Methods", "t": "2025-03-01T00:00:00+00:00"},
+        {"doi": "10.1010/a", "abstract": None, "citation_count": 0, "open_access_pdf": "https://x.o", "venue": "Journal of Screen...", "t": "2025-04-01T00:00:00.000000"},
+        {"doi": "10.1010/a", "abstract": "n/a", "citation_count": 7, "open_access_pdf": "", "venue": "arXiv", "t": "2025-02-01T00:00:00"},
         {"paper_id": "alone", "citation_count": 3}, {"paper_id": "same", "citation_count": 4, "venue": "unknown"}, {"paper_id": "same", "citation_count": 4, "venue": ""},
     ]
     p, m = papers(spark, *rows), spark.createDataFrame([], PAIRS)
@@ -84,8 +84,8 @@ def test_survivors(spark):
 
 
 def test_undated_counts_are_ordered_by_what_was_learned(spark):
-    rows = [{"doi": f"10.10/w{i}", "citation_count": c, "t": f"2025-0{c}-01T00:00:00"} for i in range(4) for c in (1, 2, 3)]
-    rows += [{"doi": "10.10/x", "citation_count": 5, "t": "2025-01-01T00:00:00"}, {"doi": "10.10/x", "citation_count": 8, "t": None}, {"doi": "10.10/y", "citation_count": 5, "t": "2025-01-01T00:00:00"}, {"doi": "10.10/y", "citation_count": 2, "t": "no date"}]
+    rows = [{"doi": f"10.1010/w{i}", "citation_count": c, "t": f"2025-0{c}-01T00:00:00"} for i in range(4) for c in (1, 2, 3)]
+    rows += [{"doi": "10.1010/vx", "citation_count": 5, "t": "2025-01-01T00:00:00"}, {"doi": "10.1010/vx", "citation_count": 8, "t": None}, {"doi": "10.1010/vy", "citation_count": 5, "t": "2025-01-01T00:00:00"}, {"doi": "10.1010/vy", "citation_count": 2, "t": "no date"}]
     p = papers(spark, *rows)
     got = {r.ordinal for r in survivor.surviving_rows(p, spark.createDataFrame([], PAIRS)).where("field = 'citation_count'").collect()}
     assert got == {3, 6, 9, 12, 14, 15}
@@ -140,13 +140,13 @@ def author(n):
 def test_cross_matching(spark):
     base = "Effect of vifutymast on depressive symptoms among smallholder farmers in Cheslark"
     p = papers(
-        spark, {"title": base, "doi": "10.10/aa", "year": 2020, "authors": author("Meren, Yann")}, {"title": base.upper() + ".", "doi": "10.10/aa", "year": 2020, "authors": author("Y. Meren")},
-        {"title": base.replace("vifutymast", "zorkelorvane"), "year": 2018, "authors": author("Olga Stein")}, {"title": base + ": protocol", "doi": "10.10/pp", "year": 2019, "authors": author("Yann Meren")},
+        spark, {"title": base, "doi": "10.1010/aa", "year": 2020, "authors": author("Meren, Yann")}, {"title": base.upper() + ".", "doi": "10.1010/aa", "year": 2020, "authors": author("Y. Meren")},
+        {"title": base.replace("vifutymast", "zorkelorvane"), "year": 2018, "authors": author("Olga Stein")}, {"title": base + ": protocol", "doi": "10.1010/pp", "year": 2019, "authors": author("Yann Meren")},
         {"title": "Corrigendum", "year": 2005, "venue": "Journal A", "authors": author("Ann Berg")}, {"title": "Corrigendum", "year": 2011, "venue": "Journal B", "authors": author("Tom Vale")}, {"title": None},
     )
     l = lib(
-        spark, {"title": base.replace("farmers", "frmers"), "year": 2020, "first_author": "Meren"}, {"title": base[:48], "year": 2020, "doi": "doi:10.10/AA"}, {"title": base + ", a commentary", "year": 2021, "first_author": "Olsen"},
-        {"title": base + ": Protocol", "year": 2019, "first_author": "Meren, Y."}, {"title": "Corrigendum", "year": 2011, "venue": "Journal B", "first_author": "Vale, T."}, {}, {"doi": "10.10/zz", "title": "Another thing entirely about nothing known"},
+        spark, {"title": base.replace("farmers", "frmers"), "year": 2020, "first_author": "Meren"}, {"title": base[:48], "year": 2020, "doi": "doi:10.1010/AA"}, {"title": base + ", a commentary", "year": 2021, "first_author": "Olsen"},
+        {"title": base + ": Protocol", "year": 2019, "first_author": "Meren, Y."}, {"title": "Corrigendum", "year": 2011, "venue": "Journal B", "first_author": "Vale, T."}, {}, {"doi": "10.1010/zz", "title": "Another thing entirely about nothing known"},
     )
     got = {(r.lib_id, r.ordinal) for r in crossmatch.matched(l, p).collect()}
     assert got == {(1, 1), (1, 2), (2, 1), (2, 2), (4, 4), (5, 6)}
