@@ -1,7 +1,7 @@
 """Records of two tables that describe the same works but share no key: loopy belief propagation.
 
-Candidate pairs come from selective blocking keys (identifiers, the whole title, the title less any one word, the
-title's rarest words, and for titles that name nothing, title with author or year and venue). Each pair gets prior
+Candidate pairs come from selective blocking keys (identifiers, the whole title, the title less any one word, its two
+rarest words, its beginning, and for titles that name nothing, title with author or year and venue). Each pair gets prior
 log-odds from title, identifiers, year, author and venue. The pairs are the variables of a factor graph: a factor
 per library record, and a softer one per work, says that at most one of its pairs is true. Messages are exchanged
 through joins until none changes; the marginals are the confidences.
@@ -175,33 +175,41 @@ def works(papers: DataFrame, match_pairs: DataFrame | None = None) -> tuple[Data
 
 
 def _weighed(titles: DataFrame, df: DataFrame, n: Column, key: str) -> DataFrame:
-    """Adds weights (by rarity) of the words and the rarest words that the works' titles have."""
+    """Adds weights (by rarity) of the words and the two rarest words that the works' titles have."""
     w = titles.where("words is not null").select(key, F.posexplode("words").alias("pos", "word"))
     w = w.join(df, "word", "left").withColumn("weight", F.least(F.log(n / F.coalesce("df", F.lit(1))) + 0.1, F.lit(7.0)))
     g = w.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "weight"))).alias("x"), F.sort_array(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "word")))).alias("r"))
-    first = F.try_element_at("r", F.lit(1))["df"]
-    rare = F.filter(F.slice("r", 1, 3), lambda s: s["df"] <= first * 4 + 2)
-    return titles.join(g.select(key, F.col("x.weight").alias("weights"), F.col("r")).withColumn("rarest", F.array_distinct(F.transform(rare, lambda s: s["word"]))).drop("r"), key, "left")
+    rarest = F.sort_array(F.transform(F.slice(F.array_distinct("r"), 1, 2), lambda s: s["word"]))
+    return titles.join(g.select(key, F.col("x.weight").alias("weights"), rarest.alias("rarest")), key, "left")
 
 
 def _keys(t: DataFrame, key: str, dois: Column, arxivs: Column) -> DataFrame:
-    """(key of the record, blocking key)."""
+    """(key of the record, blocking key): hashes, a chance collision is only one more candidate."""
     words, letters = F.col("words"), F.array_join("words", "")
     long = words.isNotNull() & (F.length(letters) >= GENERIC)
     short = words.isNotNull() & ~long
-    tag = lambda p, c: F.concat(F.lit(p), c)
-    less_one = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i: tag("less ", F.array_join(F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, F.size(words))), " ")))
+    tag = lambda p, *c: F.xxhash64(F.lit(p), *c)
+
+    def less_one(part) -> Column:
+        """The title less one word, with a part of that word that a slip elsewhere in it leaves as it is."""
+        rest = lambda i: F.array_join(F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + 2, F.size(words))), " ")
+        return F.transform(words, lambda w, i: tag("less", rest(i), part(w)))
+
+    # short words need no part: what is left of the title names the work
+    head = lambda w: F.when(F.length(w) >= 9, F.substr(w, F.lit(1), F.lit(2))).otherwise("")
+    inner = lambda w: F.when(F.length(w) >= 9, F.substr(w, F.length(w) - 8, F.lit(4))).otherwise("")
     surname = F.element_at(F.sort_array(F.transform(F.split(F.regexp_replace(F.lower("author"), r"[^\p{L}]+", " "), " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), False), 1)["w"]
+    many = long & (F.size("words") >= 5)
+    begin = F.slice("weights", 1, 10)  # a title cut short keeps its beginning, up to the rarest of the first words
+    start = F.slice(words, F.lit(1), F.array_position(begin, F.array_max(begin)).cast("int"))
     parts = [
-        F.when(long, F.array(tag("all ", letters))),
-        F.when(long & (F.size("words") >= 5), F.transform(less_one, lambda k: tag("", F.xxhash64(k).cast("string")))),
-        F.when(long, F.transform("rarest", lambda w: tag("word ", w))),
-        F.transform(dois, lambda d: tag("doi ", d)), F.transform(arxivs, lambda d: tag("arxiv ", d)),
-        F.when(short & F.col("author").isNotNull(), F.array(tag("by ", F.concat_ws("|", letters, surname)))),
-        F.when(short & F.col("year").isNotNull() & F.col("venue").isNotNull(), F.array(tag("in ", F.concat_ws("|", letters, F.col("year").cast("string"), F.lower("venue"))))),
+        F.when(long, F.array(tag("all", letters))), F.when(many, less_one(head)), F.when(many, less_one(inner)),
+        F.when(long & (F.size("rarest") == 2), F.array(tag("two", F.array_join("rarest", " ")))), F.when(long, F.array(tag("start", F.array_join(start, " ")))), F.transform(F.filter(dois, lambda d: d.isNotNull()), lambda d: tag("doi", d)),
+        F.transform(F.filter(arxivs, lambda d: d.isNotNull()), lambda d: tag("arxiv", d)), F.when(short & F.col("author").isNotNull(), F.array(tag("by", letters, surname))),
+        F.when(short & F.col("year").isNotNull() & F.col("venue").isNotNull(), F.array(tag("in", letters, F.col("year"), F.lower("venue")))),
     ]
-    none = F.array().cast("array<string>")
-    return t.select(key, F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(p, none) for p in parts])))).alias("key")).where("key is not null")
+    none = F.array().cast("array<bigint>")
+    return t.select(key, F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(p, none) for p in parts])))).alias("key"))
 
 
 def candidates(library: DataFrame, papers: DataFrame, match_pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
