@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,42 +82,63 @@ def pagerank(nodes: DataFrame, links: DataFrame, alpha: float = 0.85, tolerance:
     return rank.select("id", F.col("r").alias("pagerank"))
 
 
-def _brandes(adjacent: dict[str, list[tuple[str, float]]]):
+def _brandes(ids: np.ndarray, first: np.ndarray, to: np.ndarray, weight: np.ndarray):
+    """Brandes' algorithm for blocks of sources at once. Node k of ``ids`` (sorted) has the links ``first[k]`` up to
+    ``first[k + 1]``. Weights are whole numbers, so nodes are settled distance by distance: of the links that arrive at
+    a distance, those whose end is not settled yet are on shortest paths."""
+    n = len(ids)
+    block = max(1, BLOCK // max(n + len(to), 1))
+
+    def some(sources: np.ndarray) -> np.ndarray:
+        sigma, delta = np.zeros(len(sources) * n), np.zeros(len(sources) * n)
+        settled = np.zeros(len(sources) * n, bool)
+        new = np.arange(len(sources)) * n + sources  # a code is source * n + node
+        own = new
+        sigma[new], settled[new] = 1.0, True
+        due: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        levels, d = [], 0
+        while True:
+            node = new % n
+            many = first[node + 1] - first[node]
+            link = np.repeat(first[node], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            came = np.repeat(new, many)
+            at = came - came % n + to[link]
+            open_ = ~settled[at]
+            came, at, w = came[open_], at[open_], weight[link[open_]]
+            for x in np.unique(w):
+                due.setdefault(d + int(x), []).append((came[w == x], at[w == x]))
+            if not due:
+                break
+            d = min(due)
+            came, at = (np.concatenate(x) for x in zip(*due.pop(d)))
+            open_ = ~settled[at]
+            came, at = came[open_], at[open_]
+            np.add.at(sigma, at, sigma[came])
+            settled[at] = True
+            new = np.unique(at)
+            levels.append((came, at))
+        for came, at in reversed(levels):
+            np.add.at(delta, came, sigma[came] / sigma[at] * (1 + delta[at]))
+        delta[own] = 0.0
+        return delta.reshape(len(sources), n).sum(axis=0)
+
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score: dict[str, float] = {}
+        score = np.zeros(n)
         for pdf in batches:
-            for s in pdf["id"]:
-                if s not in adjacent:
-                    continue
-                dist, sigma, before, order, done = {s: 0.0}, {s: 1.0}, {s: []}, [], set()
-                heap = [(0.0, s)]
-                while heap:
-                    d, v = heapq.heappop(heap)
-                    if v in done:
-                        continue
-                    done.add(v)
-                    order.append(v)
-                    for w, c in adjacent.get(v, ()):
-                        nd = d + c
-                        if w not in dist or nd < dist[w]:
-                            dist[w], sigma[w], before[w] = nd, sigma[v], [v]
-                            heapq.heappush(heap, (nd, w))
-                        elif nd == dist[w] and w not in done:
-                            sigma[w] += sigma[v]
-                            before[w].append(v)
-                delta = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-                    if w != s and delta[w]:
-                        score[w] = score.get(w, 0.0) + delta[w]
-        yield pd.DataFrame({"id": list(score), "b": list(score.values())})
+            k = np.searchsorted(ids, x := pdf["id"].to_numpy(object)) if n else np.zeros(0, np.int64)
+            k = k[ids[np.minimum(k, n - 1)] == x] if n else k
+            for i in range(0, len(k), block):
+                score += some(k[i : i + block])
+        hit = np.flatnonzero(score)
+        yield pd.DataFrame({"id": ids[hit], "b": score[hit]})
 
     return over
 
 
 #: Links up to which shortest paths are searched from a copy of the graph in each worker.
 MAX_LINKS = 5_000_000
+#: Nodes and links of all sources of a block.
+BLOCK = 2_000_000
 
 
 def betweenness(nodes: DataFrame, links: DataFrame, normalized: bool = True) -> DataFrame:
@@ -126,10 +147,15 @@ def betweenness(nodes: DataFrame, links: DataFrame, normalized: bool = True) ->
     n, m = nodes.count(), links.count()
     if m > MAX_LINKS:
         raise ValueError(f"{m} links; betweenness is computed up to {MAX_LINKS}")
-    adjacent: dict[str, list[tuple[str, float]]] = {}
-    for r in links.orderBy("src", "dst").toLocalIterator():
-        adjacent.setdefault(r.src, []).append((r.dst, float(r.weight)))
-    b = nodes.mapInPandas(_brandes(adjacent), "id string, b double").groupBy("id").agg(F.sum("b").alias("b"))
+    x = links.select("src", "dst", "weight").toPandas()
+    ids, code = np.unique(np.concatenate([x["src"].to_numpy(object), x["dst"].to_numpy(object)]), return_inverse=True)
+    src, dst = code[:m], code[m:]
+    order = np.lexsort((dst, src))
+    first = np.searchsorted(src[order], np.arange(len(ids) + 1))
+    search = _brandes(ids, first, dst[order], x["weight"].to_numpy(np.int64)[order])
+    # a row is one search over the graph: few bytes, much work, so the number of tasks is given
+    tasks = 4 * nodes.sparkSession.sparkContext.defaultParallelism
+    b = nodes.repartition(tasks, "id").mapInPandas(search, "id string, b double").groupBy("id").agg(F.sum("b").alias("b"))
     scale = 1.0 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0
     return nodes.join(b, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
 
@@ -174,7 +200,7 @@ def simple_influence(edges: DataFrame, papers: DataFrame) -> DataFrame:
     return influence(m)
 
 
-def full_influence(edges: DataFrame, papers: DataFrame, with_betweenness: bool = False) -> DataFrame:
+def full_influence(edges: DataFrame, papers: DataFrame, with_betweenness: bool = True) -> DataFrame:
     nodes, links = graph(edges, papers)
     links = materialize(links, "links")
     m = _paper_counts(papers)

@@ -105,6 +105,18 @@ def test_influence_order(spark):
     assert r[0].paper_id == "A" and all(a.influence_score >= b.influence_score >= 0 for a, b in zip(r, r[1:]))
 
 
+def test_the_registered_ranking_counts_betweenness(spark, tmp_path):
+    from litsieve.plans import catalog
+
+    # M is on both shortest paths; T is cited as often as M, and more by others
+    papers(spark, *[{"paper_id": i, "doi": f"10.1/{i}", "title": i, "citation_count": c} for i, c in zip("ABMTX", (0, 0, 0, 1, 0))]).write.parquet(f"{tmp_path}/papers.parquet")
+    edges(spark, ("A", "M"), ("B", "M"), ("M", "T"), ("X", "T")).write.parquet(f"{tmp_path}/citation_edges.parquet")
+    e, p = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("citation_edges", "papers"))
+    got = {r.paper_id: r.influence_score for r in catalog.queries()["influence_ranked"](spark, str(tmp_path)).collect()}
+    without = {r.paper_id: r.influence_score for r in graph.full_influence(e, dedup.canonical(p), with_betweenness=False).collect()}
+    assert got["M"] == pytest.approx(without["M"] + graph.WEIGHTS["betweenness"]) and got["T"] == pytest.approx(without["T"])
+
+
 def test_no_edges_and_self_citations(spark):
     p = papers(spark, {"paper_id": "a"}, {"paper_id": "b"})
     for e in (edges(spark, ("a", "a")), edges(spark, (None, "b")), edges(spark, ("a", None))):
