@@ -6,9 +6,11 @@ three words occur in some passage can match three words or more, so only those a
 the full array). Every suffix of every passage is then binary-searched in it, which yields all verbatim matches,
 the longest ones and their places.
 
-A match of ``ANCHOR`` words that few items have anchors a document to an item. Around anchors, shorter matches on
-nearly the same diagonal are chained, which bridges light edits; phrases that many items share count within a
-chain only. A document has leaked an item if the chains cover at least ``SHARE`` of its passage.
+A match of ``ANCHOR`` words that few families of passages have anchors a document to an item; passages that share
+half of their runs of that length are one family. A match of a third of the passage anchors whatever holds it.
+Around anchors, shorter matches on nearly the same diagonal are chained, which bridges light edits; shorter phrases
+that many families share count within a chain only. A document has leaked an item if the chains cover at least
+``SHARE`` of its passage.
 
 The passages are a stated query set: they are searched in blocks of bounded size against all documents, in one
 narrow pass each.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 #: A third of the passage, less the words that a light edit replaces.
 SHARE = 0.27
 ANCHOR = 4
-#: An anchor is in at most so many items.
+#: An anchor is in at most so many families of passages, or is a third of its passage.
 RARE = 2
 #: Chained matches are at most so many words apart, on diagonals at most so many apart.
 GAP, DRIFT = 16, 8
@@ -76,12 +78,46 @@ class Queries:
         self.item = np.repeat(np.arange(len(self.items)), self.n)
         self.first = first
         self.triples = np.unique(self.hash(self.seq, self.at, 3))
-        # how many items have the words of each anchor
-        h = self.hash(self.seq, self.at, ANCHOR)
-        pair = np.unique(np.stack([h.view(np.int64), self.item]), axis=1) if len(h) else np.zeros((2, 0), np.int64)
-        keys, many = np.unique(pair[0], return_counts=True)
-        left = self.first[self.item] + self.n[self.item] - self.at if len(h) else h
-        self.rare = (many[np.searchsorted(keys, h.view(np.int64))] <= RARE) & (left >= np.minimum(ANCHOR, self.n[self.item])) if len(h) else np.zeros(0, bool)
+        # how many families have the words of each anchor
+        left = self.first[self.item] + self.n[self.item] - self.at if len(self.at) else self.at
+        whole = left >= ANCHOR
+        self.rare = np.zeros(len(self.at), bool)
+        if whole.any():
+            h, item = self.hash(self.seq, self.at[whole], ANCHOR).view(np.int64), self.item[whole]
+            held = np.unique(np.stack([h, item]), axis=1)
+            pair = np.unique(np.stack([held[0], self.families(*held)[held[1]]]), axis=1)
+            keys, many = np.unique(pair[0], return_counts=True)
+            self.rare[whole] = many[np.searchsorted(keys, h)] <= RARE
+        # a third of the passage, where it has no rare run
+        self.third = np.maximum(-(-self.n // 3), ANCHOR)
+        before = np.append(0, np.cumsum(self.rare))
+        k = np.arange(len(self.at))
+        need = self.third[self.item] if len(k) else k
+        end = np.minimum(k + need - ANCHOR + 1, len(k))
+        self.common = (left >= need) & (before[end] == before[k])
+        # passages too short for an anchor, by length: hash of the words and item
+        few = np.flatnonzero(self.n < ANCHOR)
+        self.short = {int(k): (self.hash(self.seq, first[few[self.n[few] == k]], int(k)), few[self.n[few] == k]) for k in np.unique(self.n[few])}
+
+    def families(self, key: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """The family of each item, from its distinct runs (sorted by run, then item): items next to each other in
+        half of the runs of either are one."""
+        up = list(range(len(self.items)))
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        runs = np.bincount(item, minlength=len(up))
+        next_ = np.flatnonzero(key[1:] == key[:-1])
+        pairs, shared = np.unique(item[next_] * len(up) + item[next_ + 1], return_counts=True)
+        a, b = pairs // len(up), pairs % len(up)
+        for k in np.flatnonzero(2 * shared >= np.minimum(runs[a], runs[b])):
+            x, y = root(int(a[k])), root(int(b[k]))
+            up[max(x, y)] = min(x, y)
+        return np.array([root(x) for x in range(len(up))], np.int64)
 
     @staticmethod
     def hash(seq: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -153,25 +189,67 @@ def _chains(p: np.ndarray, q: np.ndarray, anchor: np.ndarray, size: int) -> tupl
     return covered[:size].mean(), int(sum(good))
 
 
+def _begins(seq: np.ndarray, p: np.ndarray, q: np.ndarray, at: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Whether the suffixes seq[p..] and q[at..] share their first ``least`` words."""
+    open_ = np.arange(len(p))
+    out = np.zeros(len(p), bool)
+    d = 0
+    while len(open_):
+        done = least[open_] <= d
+        out[open_[done]] = True
+        open_ = open_[~done]
+        x = seq[p[open_] + d]
+        open_ = open_[(x == q[at[open_] + d]) & (x > 0)]
+        d += 1
+    return out
+
+
+def _short(queries: Queries, seq: np.ndarray, starts: np.ndarray, ids: list[int]) -> list[tuple]:
+    """The passages of fewer than ``ANCHOR`` words, which match as a whole."""
+    out = []
+    for k, (h, item) in queries.short.items():
+        n = len(seq) - DEPTH
+        at = np.flatnonzero(np.logical_and.reduce([seq[d : n + d] > 0 for d in range(k)]))
+        got = Queries.hash(seq, at, k)
+        keep = np.isin(got, h)
+        at, got = at[keep], got[keep]
+        doc = np.searchsorted(starts, at, "right") - 1
+        for x, i in zip(h, item):
+            d, where, many = np.unique(doc[got == x], return_index=True, return_counts=True)
+            places = at[got == x]
+            out += [(ids[a], queries.items[i], 1.0, k, int(places[b] - starts[a]), int(c)) for a, b, c in zip(d, where, many)]
+    return out
+
+
 def _shard(queries: Queries, ids: list[int], texts: list[str]) -> list[tuple]:
     parts = [np.fromiter(map(queries.vocab.get, w := words(t), repeat(0)), np.int32, len(w)) for t in texts]
     gap = np.zeros(DEPTH, np.int32)
     seq = np.concatenate([x for s in parts for x in (s, gap)])
     starts = np.append(0, np.cumsum([len(s) + DEPTH for s in parts]))[:-1]
+    out = _short(queries, seq, starts, ids)
     sa = _suffix_array(seq, queries.triples)
     if not len(sa):
-        return []
+        return out
     # anchors first: most documents have none
     rare = np.flatnonzero(queries.rare)
     lo, hi = bounds(seq, sa, queries.seq, queries.at[rare], ANCHOR)
-    short = queries.n[queries.item[rare]] < ANCHOR
-    n = np.where(short, 0, hi - lo)
+    n = hi - lo
     k = np.repeat(rare, n)
     pos = sa[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    common = np.flatnonzero(queries.common)
+    deep = np.minimum(queries.third[queries.item[common]], DEPTH)
+    for depth in np.unique(deep):
+        c = common[deep == depth]
+        lo, hi = bounds(seq, sa, queries.seq, queries.at[c], int(depth))
+        n = hi - lo
+        kc = np.repeat(c, n)
+        pc = sa[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        long = _begins(seq, pc, queries.seq, queries.at[kc], queries.third[queries.item[kc]])
+        k, pos = np.append(k, kc[long]), np.append(pos, pc[long])
     doc = np.searchsorted(starts, pos, "right") - 1
     pairs = np.unique(doc * len(queries.items) + queries.item[k])
     if not len(pairs):
-        return []
+        return out
     # all matches of three words, of the anchored documents and items only
     wanted_items = np.unique(pairs % len(queries.items))
     wanted_docs = np.unique(pairs // len(queries.items))
@@ -179,7 +257,6 @@ def _shard(queries: Queries, ids: list[int], texts: list[str]) -> list[tuple]:
     d_of = np.searchsorted(starts, sa, "right") - 1
     sub = sa[np.isin(d_of, wanted_docs)]
     lo, hi = bounds(seq, sub, queries.seq, queries.at[own], 3)
-    out = []
     n = hi - lo
     k3 = np.repeat(own, n)
     p3 = sub[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
@@ -189,6 +266,8 @@ def _shard(queries: Queries, ids: list[int], texts: list[str]) -> list[tuple]:
     k3, p3, d3, code = k3[keep], p3[keep], d3[keep], code[keep]
     four = seq[p3 + 3] == queries.seq[queries.at[k3] + 3]
     anchor = queries.rare[k3] & four
+    long = np.flatnonzero(queries.common[k3])
+    anchor[long] |= _begins(seq, p3[long], queries.seq, queries.at[k3[long]], queries.third[queries.item[k3[long]]])
     length = np.full(len(p3), 3)
     open_ = np.ones(len(p3), bool)
     for d in range(3, DEPTH):
