@@ -77,15 +77,26 @@ def release(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = 200_000) -> DataFrame:
-    """``big`` joined with ``small``, which has each key once. ``small`` is written and counted: up to ``max_rows``
-    it is broadcast; beyond that the join is salted, so that a key that holds much of ``big`` is spread."""
+#: A table may be broadcast up to so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+
+
+def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table may be broadcast: its rows and the bytes of its texts are counted."""
+    from pyspark.sql import functions as F
+
+    texts = [F.octet_length(F.to_json(F.struct(c)) if "<" in t else c) for c, t in df.dtypes if t == "string" or "<" in t]
+    size = F.sum(sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(16 * (len(df.columns) + 1))).cast("bigint"))
+    n, size = df.agg(F.count("*"), size).first()
+    return n <= max_rows and (size or 0) <= max_bytes
+
+
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """``big`` joined with ``small``, which has each key once. ``small``, or the written table ``counted`` that it is made of,
+    is broadcast up to a bound of rows and bytes; beyond it both are shuffled, and adaptive execution splits a key
+    that holds much of ``big``."""
     from pyspark.sql import functions as F
 
-    small = materialize(small, "small")
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    salts = 16
-    left = big.withColumn("_salt", (F.rand(seed=7) * salts).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    if counted is None:
+        counted = small = small if hasattr(small, "_litsieve_path") else materialize(small, "small")
+    return big.join(F.broadcast(small) if small_enough(counted) else small, on, how)
