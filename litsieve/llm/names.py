@@ -1,19 +1,29 @@
 """Variant spellings of persons and organisations: merge-and-rematch resolution.
 
-Every mention starts as a profile of its own. A round describes each profile by all its mentions (their most
-frequent given name, all surnames, initials, organisations and identifiers), gives it blocking keys, and merges the
-profiles of every block that can only mean one entity; merged profiles are richer, get new keys and are matched
-again, until a round merges nothing. Blocks are judged by aggregates and merged as stars around one profile, so no
-pairs are made within a block, however large; only the result, whose form is pairs, lists them.
-
-A block names one entity if it holds at most one ORCID, one full given name that its initials fit, and one middle
-initial. Keys, from strong to weak: ORCID; author id; the same work and place in its author list; name and
-organisation, also with one slip of the pen in either name; name and a neighbour in the author list; and last,
-the name alone, where at most one of the profiles has an organisation.
+Every mention starts as a profile of its own. A profile unites all spellings of its mentions (surnames, given names,
+initials), their organisations and identifiers, and has a blocking key for every combination of them. The profiles of
+a block that can only mean one entity are merged; a merged profile is richer, gets the keys of its new combinations
+and enters blocking again, until a round merges nothing. There is no limit of rounds: each merge makes profiles fewer.
+
+Rounds are incremental. A profile whose members did not change keeps its keys, and only blocks that a changed profile
+touches are judged again. Keys are pairs (hash, profile); the many keys for slips of the pen are made only of letters
+left out that two different words of the vocabulary share. All attributes that blocks are judged by are numbers, so that
+blocks are hash-aggregated with partial sums on the map side; a block's profiles are merged as a star around its
+smallest, so no pairs are made within it, however large. Only the result, whose form is pairs, lists them.
+
+A block names one entity if it holds at most one ORCID, one given name that all initials fit, and one first middle
+initial; each profile counts with its commonest form. A block with several middle initials is split by them, and the
+profiles without one, which fit several parts, are left out. A profile whose blocks hold different ORCIDs fits several
+people and stays where it is; so do merges that would chain two ORCIDs. Keys, from strong to weak: ORCID; author id;
+the same work and place in its author list; name and organisation, also with one slip in either name; and when these
+merge nothing more, name and a neighbour in the author list, and the name alone where at most one of its profiles
+has an organisation or ORCID. After the weak keys the strong ones are tried again.
 
 Defined results: null and placeholder names ("et al.", "Anonymous") are in no pair; a null affiliation says nothing;
 an organisation without a proper name is nobody; repeated rows with different ids are pairs; people with equal names
-and different organisations stay apart unless an identifier, work or co-author joins them; empty tables give no rows.
+and different organisations stay apart unless an identifier, work or co-author joins them; a middle initial other than
+the first tells nobody apart; words of more than 64 letters tolerate a slip in one of their halves only; empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -23,16 +33,15 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litsieve.llm import clusters
+from litsieve.functions.ids import arxiv_key, doi_key
 from litsieve.llm.crossmatch import near
 from litsieve.session import join_checked, materialize, release
 
-MAX_ROUNDS = 8
 TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "mx", "phd", "md", "msc", "bsc", "ma", "ba", "rn", "jr", "sr", "dphil", "mph", "frcp", "sir", "dame"}
-PARTICLES = {"van", "von", "de", "der", "den", "del", "della", "di", "da", "dos", "du", "la", "le", "el", "al", "bin", "ibn", "ter", "ten", "zu", "af", "av", "vna", "vno"}
+PARTICLES = {"van", "von", "de", "der", "den", "del", "della", "di", "da", "dos", "du", "la", "le", "el", "al", "bin", "ibn", "ter", "ten", "zu", "af", "av"}
 NOBODY = re.compile(r"(?i)^\W*(n/?a|none|null|unknown( author)?|anonymous|anon|et\.? ?al|no author( name)?( given)?|author|various|editor(s|ial)?|collaborators?|staff|not available|-+)?\W*$")
 #: Short forms of given names (fixed values, in common use).
 NICKNAMES = {
@@ -77,9 +86,16 @@ def fold(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
 
 
-def person(name: str | None, known: frozenset[str] = frozenset()) -> tuple[str, str, str, str] | None:
-    """(surname, full given name or '', first initial, middle initials), or None for nobody. ``known`` are given
-    names, which tell the order of two words."""
+_SWAPPED = {"".join(sorted(p)) for p in PARTICLES if len(p) == 3}
+
+
+def _particle(word: str) -> bool:
+    """A particle, or one of three letters typed in another order."""
+    return word in PARTICLES or len(word) == 3 and "".join(sorted(word)) in _SWAPPED
+
+
+def person(name: str | None) -> tuple[str, str, str, str] | None:
+    """(surname, full given name or '', first initial, middle initials), or None for nobody."""
     if not isinstance(name, str) or NOBODY.match(name):
         return None
     parts = [[w for w in re.findall(r"[^\W\d_]+(?:['’\-.][^\W\d_]+)*\.?", p) if w.lower().strip(".") not in TITLES] for p in fold(name).split(",")]
@@ -95,9 +111,9 @@ def person(name: str | None, known: frozenset[str] = frozenset()) -> tuple[str,
     else:
         w = parts[0]
         caps = [x for x in w if len(x.strip(".")) > 2 and x.isupper() and not short(x)]
-        if caps and len(caps) < len([x for x in w if not short(x) and x.lower() not in PARTICLES]):
+        if caps and len(caps) < len([x for x in w if not short(x) and not _particle(x.lower())]):
             i = next(k for k, x in enumerate(w) if x in caps)
-            while i and w[i - 1].lower() in PARTICLES:
+            while i and _particle(w[i - 1].lower()):
                 i -= 1
             j = max(k for k, x in enumerate(w) if x in caps) + 1
             sur, given = w[i:j], w[:i] + w[j:]
@@ -106,25 +122,23 @@ def person(name: str | None, known: frozenset[str] = frozenset()) -> tuple[str,
             while k > 1 and (short(w[k - 1]) or (w[k - 1].isupper() and len(w[k - 1]) <= 3)):
                 k -= 1
             sur = w[:k]
-            if len(low(sur)) > 1 and not any(x in PARTICLES for x in low(sur)) and k == len(w) - 1:
+            if len(low(sur)) > 1 and not any(map(_particle, low(sur))) and k == len(w) - 1:
                 sur, given = w[:1], w[1:]
             else:
                 given = list("".join(x.strip(".").replace(".", "") for x in w[k:]))
         else:
             k = len(w) - 1
-            while k > 1 and w[k - 1].lower() in PARTICLES:
+            while k > 1 and _particle(w[k - 1].lower()):
                 k -= 1
             sur, given = w[k:], w[:k]
-            if len(w) == 2 and low(w)[1] in known and low(w)[0] not in known:
-                sur, given = w[:1], w[1:]
-    sur = [x for x in low(sur) if x not in PARTICLES] or low(sur)
+    sur = [x for x in low(sur) if not _particle(x)] or low(sur)
     surname = re.sub(r"^(al|el)-", "", "".join(sur)).replace("-", "").replace("'", "").replace("’", "").replace(".", "")
     g = [x for w in low(given) for x in (re.split(r"[.]", w) if short(w) else [w]) if x]
-    g = [x for x in g if x not in PARTICLES]
+    g = [x for x in g if not _particle(x)]
     if not surname:
         return None
     first = NICKNAMES.get(g[0], g[0]) if g else ""
-    return surname, first if len(first) > 1 else "", first[:1], "".join(x[0] for x in g[1:])[:3]
+    return surname, first if len(first) > 1 else "", first[:1], "".join(x[0] for x in g[1:])
 
 
 def _generic(word: str) -> str | None:
@@ -166,19 +180,40 @@ def organisation(text: str | None) -> tuple[str, str, str] | None:
     return " ".join(k for k in kinds if not k.startswith("=")), made, "".join(names)
 
 
-def _parse_people(known: frozenset[str]):
-    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [person(n, known) for n in pdf["name"]]
-            keep = [i for i, g in enumerate(got) if g]
-            if not keep:
-                continue
-            out = pdf.iloc[keep].drop(columns="name").reset_index(drop=True)
-            for k, c in enumerate(("surname", "given", "initial", "middle")):
-                out[c] = [got[i][k] for i in keep]
-            yield out
+def _order(name: str) -> str:
+    """What a name tells of the order of its parts: "," and the given name after a comma, or its two plain words."""
+    x = fold(name)
+    if m := re.match(r"[^,]+,\s*([^\W\d_]{3,})", x):
+        return ", " + m[1].lower()
+    w = [y for y in re.findall(r"[^\W\d_]+(?:['’\-.][^\W\d_]+)*\.?", x) if y.lower().strip(".") not in TITLES]
+    return " ".join(w).lower() if len(w) == 2 and all(len(y) > 1 and y.isalpha() and not y.isupper() for y in w) else ""
+
 
-    return over
+def _mask(given: str, initial: str) -> int | None:
+    """The initials that a person so named may be written with, as bits; None if nothing tells."""
+    letters = _LETTERS.get(given, {given[0]}) if given else {initial} if initial else ()
+    out = 0
+    for c in letters:
+        out |= 1 << (ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 36)
+    return out or None
+
+
+def _parse_people(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        got = [person(n) for n in pdf["name"]]
+        keep = [i for i, g in enumerate(got) if g]
+        out = pdf.iloc[keep].drop(columns="name").reset_index(drop=True)
+        got = [got[i] for i in keep]
+        plain = [_order(n) for n in pdf["name"].iloc[keep]]
+        # two plain words may also stand the other way round
+        other = [person(p.replace(" ", ", ")) if " " in p and p[0] != "," else None for p in plain]
+        out["surname"], out["given"], out["middle"] = ([g[k] for g in got] for k in (0, 1, 3))
+        out["mask"] = pd.array([_mask(g[1], g[2]) for g in got], "Int64")
+        out["plain"] = [p[0] if p[:1] == "," else p for p in plain]
+        out["surname2"] = [o[0] if o else None for o in other]
+        out["given2"] = [o[1] if o else p[2:] if p[:1] == "," else None for o, p in zip(other, plain)]
+        out["mask2"] = pd.array([_mask(o[1], o[2]) if o else None for o in other], "Int64")
+        yield out[[c for c in pdf.columns if c != "name"] + ["surname", "given", "mask", "middle", "plain", "surname2", "given2", "mask2"]]
 
 
 def _parse_orgs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,160 +224,326 @@ def _parse_orgs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"affiliation_id": pdf["affiliation_id"].to_numpy()[keep], "affiliation": pdf["affiliation"].to_numpy()[keep], **{c: [got[i][k] for i in keep] for k, c in enumerate(("kinds", "letters", "place"))}})
 
 
-def _slip_keys(c: str) -> Column:
-    """A word and all it becomes by leaving out one letter: two words one slip apart share one of them."""
-    w = F.col(c)
-    less = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
-    return F.when(F.length(w) >= 4, F.array_distinct(F.concat(F.array(w), less))).otherwise(F.array(w))
+#: Letters from which a word's slips are looked for in its first and last ``HALF`` letters only.
+LONG_WORD, HALF = 64, 32
+
+
+def _slips(word: Column) -> Column:
+    """A word and all it becomes by leaving out one letter: two words one slip apart share one of them. Of a very long
+    word, itself and its halves."""
+    n = F.length(word)
+    less = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
+    half = F.array(F.concat(F.lit("<"), F.substr(word, F.lit(1), F.lit(HALF))), F.concat(F.lit(">"), F.substr(word, n - HALF + 1, F.lit(HALF))))
+    return F.when(n < 4, F.array(word)).when(n > LONG_WORD, F.array_append(half, word)).otherwise(F.array_distinct(F.array_append(less, word)))
+
+
+def _vocabulary(words: DataFrame, word: str, code: str) -> DataFrame:
+    """(code, slip): of each word its own hash and those of its slips that another word of the vocabulary has too."""
+    w = words.where(F.length(word) > 0).select(code, word).distinct().select(code, F.explode(_slips(F.col(word))).alias("x"))
+    w = w.select(code, F.xxhash64("x").alias("slip"))
+    shared = w.groupBy("slip").agg(F.min(code).alias("c1"), F.max(code).alias("c2")).where("c1 < c2").select("slip")
+    own = w.select(F.col(code), F.col(code).alias("slip")).distinct()
+    return materialize(w.join(shared, "slip").where(f"slip <> {code}").select(code, "slip").unionByName(own), "slips")
 
 
-def _merge(profiles: DataFrame, stars: DataFrame) -> tuple[DataFrame, int]:
-    """(id, pid) with every profile moved to the smallest it was matched with, and how many moved. What a chain
-    leaves apart shares its keys again in the next round."""
-    moves = materialize(stars.where("a < b").groupBy("b").agg(F.min("a").alias("a")), "moves")
-    n = moves.count()
-    if not n:
-        return profiles, 0
-    # one jump along chains
-    jump = moves.join(moves.select(F.col("b").alias("a"), F.col("a").alias("further")), "a", "left").select("b", F.coalesce("further", "a").alias("new"))
-    out = profiles.join(jump.withColumnRenamed("b", "pid"), "pid", "left").select("id", F.coalesce("new", "pid").alias("pid"))
-    return materialize(out, "profiles"), n
+#: What a block is judged by: its profiles, given names, first middle initials, ORCIDs, fitting initials and homes.
+FACTS = ("g", "m", "o", "mask", "h")
+#: Kinds of keys: sure, unless ORCIDs differ; judged; judged without the given name; judged, and at most one home.
+SURE, JUDGED, NAMELESS, HOMELESS = range(4)
+#: Judged like ``JUDGED``: the first keys of name and organisation, which ``_combined`` makes again.
+PLAIN = 4
+
+
+def _judged(keys: DataFrame) -> DataFrame:
+    """Of keys (key, f, pid, *FACTS) the blocks of two or more profiles: (key, a, f, ob, one, mixed). ``one``: it can only
+    mean one person; ``mixed``: it might if it were split by middle initials."""
+    free = F.col("f") == NAMELESS
+    b = keys.groupBy("key").agg(
+        F.min("pid").alias("a"), F.max("pid").alias("z"), F.min("f").alias("f"), F.sum("h").alias("h"), F.min("m").alias("m1"), F.max("m").alias("m2"),
+        F.min(F.when(~free, F.col("g"))).alias("g1"), F.max(F.when(~free, F.col("g"))).alias("g2"), F.min("o").alias("o1"), F.max("o").alias("o2"),
+        F.bit_and(F.when(~free, F.col("mask"))).alias("mask"),
+    ).where("a < z")
+    same = lambda x: F.col(f"{x}1").eqNullSafe(F.col(f"{x}2"))
+    named = same("g") & (F.coalesce("mask", F.lit(1)) != 0) & ((F.col("f") != HOMELESS) | (F.col("h") <= 1))
+    sure = F.col("f") == SURE
+    one = same("o") & (sure | named & same("m"))
+    return b.select("key", "a", "f", F.col("o1").alias("ob"), one.alias("one"), (~sure & named & ~same("m")).alias("mixed"))
+
+
+def _members(keys: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(a, b, ob): every profile of the blocks that name one person, with the block's first profile and ORCID."""
+    b = materialize(blocks.where("one or mixed"), "blocks")
+    whole = keys.select("key", "pid").join(b.where("one").select("key", "a", "ob"), "key").select("a", F.col("pid").alias("b"), "ob")
+    parts = keys.where("m is not null").join(b.where("mixed").select("key"), "key").withColumn("key", F.xxhash64("key", "m"))
+    ok = _judged(parts).where("one").select("key", "a", "ob")
+    split = parts.select("key", "pid").join(ok, "key").select("a", F.col("pid").alias("b"), "ob")
+    return whole.unionByName(split)
+
+
+def _moves(keys: DataFrame) -> DataFrame:
+    """(b, t): profiles of consistent blocks with the smaller profile each is merged into. What a chain leaves apart
+    shares its keys again in the next round."""
+    members = _members(keys, _judged(keys))
+    per = members.groupBy("b").agg(F.min("a").alias("a"), F.min("ob").alias("ob"), F.max("ob").alias("ob2"))
+    m = materialize(per.where("ob <=> ob2 and a < b").select("b", "a", "ob"), "moves")
+    t = m.select("b", F.col("a").alias("t"), "a", "ob")
+    for _ in range(2):  # jumps along chains
+        t = t.join(t.select(F.col("b").alias("t"), F.col("t").alias("further")), "t", "left").select("b", F.coalesce("further", "t").alias("t"), "a", "ob")
+    t = materialize(t, "targets")
+    held = t.groupBy("t").agg(F.min("ob").alias("first"), F.max("ob").alias("last"))
+    clash = held.where("first < last").select("t", "first")
+    # a chain that would join two ORCIDs is cut down to the direct neighbours that share the smaller one
+    out = t.join(clash, "t", "left").where("first is null or (ob = first and a = t)").select("b", "t")
+    out = materialize(out, "moves")
+    release(m)
+    release(t)
+    return out
 
 
 def organisations(affiliations: DataFrame) -> DataFrame:
     """(affiliation_id, affiliation, org): spellings of one organisation share ``org``."""
     rows = affiliations.select(F.col("affiliation_id").cast("bigint").alias("affiliation_id"), "affiliation").where("affiliation is not null and affiliation_id is not null")
     parsed = materialize(rows.mapInPandas(_parse_orgs, "affiliation_id bigint, affiliation string, kinds string, letters string, place string"), "orgs")
-    profiles = parsed.select(F.col("affiliation_id").alias("id"), F.col("affiliation_id").alias("pid"))
-    for _ in range(MAX_ROUNDS):
-        # a profile is its commonest name; acronyms and full names share their initials
-        p = profiles.join(parsed, profiles["id"] == parsed["affiliation_id"]).groupBy("pid").agg(F.mode("place", True).alias("place"), F.mode("letters", True).alias("letters"), F.collect_set(F.nullif("kinds", F.lit(""))).alias("kinds"), F.count("*").alias("n"))
-        own = p.select("pid", "n", F.explode(F.array(F.concat_ws("|", "letters", "place"))).alias("key"))
-        near_ = p.where(F.length("place") >= 5).select("pid", "n", F.explode(F.transform(_slip_keys("place"), lambda s: F.concat_ws("|", F.lit("slip"), F.col("letters"), s))).alias("key"))
-        keys = own.unionByName(near_)
-        centre = keys.groupBy("key").agg(F.min("pid").alias("a"), F.count("*").alias("k")).where("k > 1").select("key", "a")
-        profiles, merged = _merge(profiles, keys.join(centre, "key").select("a", F.col("pid").alias("b")))
-        if not merged:
+    words = parsed.select("place", F.xxhash64("place").alias("code"))
+    slips = _vocabulary(words.where(F.length("place") >= 5), "place", "code")
+    forms = parsed.select(F.col("affiliation_id").alias("pid"), "letters", F.xxhash64("place").alias("code"))
+    moved = None
+    while True:
+        # every combination of a profile's initials and places, acronyms and full names sharing their initials
+        f = materialize(forms.distinct(), "forms")
+        both = f.select("pid", "letters").distinct().join(f.select("pid", "code").distinct(), "pid")
+        keys = both.select("pid", F.xxhash64("letters", "code").alias("key"))
+        keys = keys.unionByName(both.join(slips, "code").select("pid", F.xxhash64("letters", F.lit("slip"), "slip").alias("key")))
+        centre = keys.groupBy("key").agg(F.min("pid").alias("a"), F.max("pid").alias("z")).where("a < z").select("key", "a")
+        step = keys.join(centre, "key").where("pid > a").groupBy(F.col("pid").alias("b")).agg(F.min("a").alias("t"))
+        step = materialize(step, "moves")
+        if step.isEmpty():
             break
-    return parsed.join(profiles, parsed["affiliation_id"] == profiles["id"]).select("affiliation_id", "affiliation", F.col("pid").alias("org"))
-
-
-def _given_names(authors: DataFrame) -> frozenset[str]:
-    """Given names, learned from the mentions whose form tells: second of "Surname, Given". At most 20,000."""
-    g = authors.select(F.lower(F.regexp_extract("name", r"^[^,]+,\s*(\p{L}{3,})", 1)).alias("g"), F.lower(F.regexp_extract("name", r"^([^,]+),", 1)).alias("s")).where("g <> ''")
-    rows = g.groupBy("g").agg(F.approx_count_distinct("s").alias("n")).where("n >= 5").orderBy(F.desc("n"), "g").limit(20_000).collect()
-    return frozenset(fold(r.g) for r in rows)
-
-
-def mentions(authors: DataFrame, affiliations: DataFrame, papers: DataFrame, match_pairs: DataFrame) -> DataFrame:
-    """Parsed author mentions with organisation, identifiers and work."""
-    orgs = organisations(affiliations)
+        forms = f.join(step.withColumnRenamed("b", "pid"), "pid", "left").select(F.coalesce("t", "pid").alias("pid"), "letters", "code")
+        old, moved = moved, step if moved is None else materialize(_further(moved, step), "moved")
+        release(old)
+    out = parsed.select("affiliation_id", "affiliation")
+    if moved is None:
+        return out.withColumn("org", F.col("affiliation_id"))
+    return out.join(moved.withColumnRenamed("b", "affiliation_id"), "affiliation_id", "left").select("affiliation_id", "affiliation", F.coalesce("t", "affiliation_id").alias("org"))
+
+
+def _further(moved: DataFrame, step: DataFrame) -> DataFrame:
+    """(b, t) after the moves ``moved`` and then ``step``."""
+    on = moved.join(step.select(F.col("b").alias("t"), F.col("t").alias("u")), "t", "left").select("b", F.coalesce("u", "t").alias("t"))
+    return on.unionByName(step)
+
+
+def _links(papers: DataFrame, match_pairs: DataFrame) -> DataFrame:
+    """(ordinal, link): what two or more rows share that makes them one work: an id, an identifier, an earlier match.
+    Links of links need no closure here, because the profiles that they merge are matched again."""
+    p = papers.select(F.col("ordinal").cast("bigint").alias("ordinal"), F.when(F.col("paper_id").isNotNull(), F.xxhash64("paper_id")).alias("paper"), doi_key("doi").alias("doi"), arxiv_key("arxiv_id").alias("arxiv")).where("ordinal is not null")
+    a, b = F.xxhash64("paper_id_a"), F.xxhash64("paper_id_b")
+    pairs = match_pairs.where("paper_id_a <> paper_id_b").select(F.xxhash64(F.lit("pair"), F.least(a, b), F.greatest(a, b)).alias("link"), F.explode(F.array(a, b)).alias("paper")).distinct()
+    shared = F.array("paper", F.when(F.col("doi").isNotNull(), F.xxhash64(F.lit("doi"), "doi")), F.when(F.col("arxiv").isNotNull(), F.xxhash64(F.lit("arxiv"), "arxiv")))
+    own = p.select("ordinal", F.explode(shared).alias("link")).where("link is not null")
+    all_ = own.unionByName(p.select("ordinal", "paper").join(pairs, "paper").select("ordinal", "link"))
+    all_ = materialize(all_, "links")
+    many = all_.groupBy("link").agg(F.min("ordinal").alias("o1"), F.max("ordinal").alias("o2")).where("o1 < o2").select("link")
+    return all_.join(many, "link")
+
+
+#: Surnames from which a word that follows a comma is a given name.
+KNOWN_BY = 5
+
+
+def mentions(authors: DataFrame, orgs: DataFrame) -> DataFrame:
+    """Parsed author mentions as numbers: (id, ordinal, position, s, head, tail, g, mask, m, o, author, org), and the words
+    surname and given. Given names, learned from mentions of the form "Surname, Given", tell the order of two words."""
     by_text = orgs.groupBy("affiliation").agg(F.min("org").alias("org"))
+    digits = F.regexp_extract(F.upper("orcid"), r"(\d{4}-\d{4}-\d{4}-\d{3}[\dX])", 1)
     a = authors.select(
-        F.col("mention_id").cast("bigint").alias("id"), F.col("ordinal").cast("bigint").alias("ordinal"), "paper_id", F.col("author_position").cast("int").alias("position"), "name", "affiliation",
-        F.concat_ws(":", "database", F.nullif(F.trim("author_id"), F.lit(""))).alias("author"), F.nullif(F.regexp_extract(F.upper("orcid"), r"(\d{4}-\d{4}-\d{4}-\d{3}[\dX])", 1), F.lit("")).alias("orcid"), F.col("author_id").isNotNull().alias("has_id"),
+        F.col("mention_id").cast("bigint").alias("id"), F.col("ordinal").cast("bigint").alias("ordinal"), F.col("author_position").cast("int").alias("position"), "name", "affiliation",
+        F.when(F.length(F.trim("author_id")) > 0, F.xxhash64("database", F.trim("author_id"))).alias("author"), F.when(digits != "", F.xxhash64(digits)).alias("o"),
     ).where("name is not null and mention_id is not null")
-    a = a.withColumn("author", F.when(F.col("has_id"), F.col("author"))).drop("has_id")
     kept = [c for c in a.columns if c != "name"]
     kinds = ", ".join(f"{c} {a.schema[c].dataType.simpleString()}" for c in kept)
-    a = a.mapInPandas(_parse_people(_given_names(authors)), f"{kinds}, surname string, given string, initial string, middle string")
+    one = "{0} string, {1} string, {2} bigint"
+    a = a.mapInPandas(_parse_people, f"{kinds}, {one.format('surname', 'given', 'mask')}, middle string, plain string, {one.format('surname2', 'given2', 'mask2')}")
+    a = materialize(a, "parsed")
+    known = a.where("plain = ','").groupBy(F.col("given2").alias("word")).agg(F.approx_count_distinct("surname").alias("n")).where(f"n >= {KNOWN_BY}").select("word", F.lit(True).alias("is"))
+    # the words as they stand: of the plain two-word names, the first and the second
+    pair = F.split("plain", " ")
+    a = a.withColumn("w1", F.when(F.contains(F.col("plain"), F.lit(" ")), pair[0])).withColumn("w2", F.when(F.col("w1").isNotNull(), pair[1]))
+    known = materialize(known, "given")
+    a = join_checked(a, known.select(F.col("word").alias("w1"), F.col("is").alias("k1")), ["w1"], "left", counted=known)
+    a = join_checked(a, known.select(F.col("word").alias("w2"), F.col("is").alias("k2")), ["w2"], "left", counted=known)
+    turn = F.col("k2").isNotNull() & F.col("k1").isNull() & F.col("w1").isNotNull()
+    pick = lambda c: F.when(turn, F.col(f"{c}2")).otherwise(F.col(c)).alias(c)
+    a = a.select("id", "ordinal", "position", "affiliation", "author", "o", pick("surname"), pick("given"), pick("mask"), "middle")
     a = join_checked(a, by_text, ["affiliation"], "left").drop("affiliation")
-    roots = clusters.groups(papers, match_pairs)
-    a = a.join(roots, "paper_id", "left").withColumn("work", F.coalesce(F.concat(F.lit("group "), F.col("root").cast("string")), "paper_id")).drop("root", "paper_id")
-    return materialize(a, "mentions")
-
-
-def _profiles(m: DataFrame, profiles: DataFrame) -> DataFrame:
-    x = m.join(profiles, "id")
-    full = F.when(F.length("given") > 1, F.col("given"))
-    return x.groupBy("pid").agg(
-        F.mode("surname", True).alias("surname"), F.mode(full, True).alias("given"), F.mode("initial", True).alias("initial"), F.mode(F.when(F.length("middle") > 0, F.substr("middle", F.lit(1), F.lit(1))), True).alias("middle"),
-        F.mode("org", True).alias("main_org"), F.collect_set("org").alias("orgs"), F.min("orcid").alias("orcid"), F.collect_set(F.struct("orcid")).alias("o"), F.collect_set("author").alias("authors"),
-        F.collect_set(F.struct("work", "position")).alias("places"), F.collect_set("initial").alias("initials"), F.count("*").alias("n"),
+    return materialize(a.select(
+        "id", "ordinal", "position", "author", "o", "org", "mask", "surname", "given", F.xxhash64("surname").alias("s"), F.xxhash64(F.substr("surname", F.lit(1), F.lit(3))).alias("head"),
+        F.xxhash64(F.lit("tail"), F.substr(F.reverse("surname"), F.lit(1), F.lit(4))).alias("tail"), F.xxhash64(F.substr("surname", F.lit(1), F.lit(2))).alias("start"),
+        F.when(F.length("given") > 1, F.xxhash64("given")).alias("g"), F.when(F.length("middle") > 0, F.ascii("middle")).alias("m"),
+    ), "mentions")
+
+
+def _mention_keys(m: DataFrame, links: DataFrame) -> DataFrame:
+    """The first keys, of single mentions: identifiers, organisation and name, and the place in a work's author list."""
+    k = F.xxhash64
+    facts = ["id", "g", "m", "o", "mask"]
+    named = F.col("g").isNotNull()
+    x = lambda f, key, when: F.when(when, F.struct(F.lit(f).alias("f"), key.alias("key")))
+    own = m.select(*facts, F.explode(F.array(
+        x(SURE, k(F.lit("orcid"), "o"), F.col("o").isNotNull()), x(SURE, k(F.lit("id"), "author", "start"), F.col("author").isNotNull()),
+        x(PLAIN, k(F.lit("at"), "org", "s", "g"), F.col("org").isNotNull() & named),
+    )).alias("x")).where("x is not null")
+    position = F.coalesce("position", F.lit(-1))
+    work = m.join(links, "ordinal").select(*facts, F.explode(F.array(
+        x(JUDGED, k(F.lit("work"), "link", position, "head"), F.lit(True)), x(JUDGED, k(F.lit("work"), "link", position, "tail"), F.lit(True)), x(JUDGED, k(F.lit("in"), "link", "s", "g"), named),
+    )).alias("x")).where("x is not null")
+    return own.unionByName(work).select("x.key", "x.f", F.col("id").alias("pid"), "g", "m", "o", "mask", F.lit(0).alias("h"))
+
+
+def _attributes(forms: DataFrame) -> DataFrame:
+    """(pid, *FACTS): what blocks judge each profile by: its commonest given name and first middle initial, its ORCID,
+    the initials that fit, and whether it has a home."""
+    # counts decide, hashes break ties; a plain number keeps this a hash aggregation
+    by = lambda c: F.when(F.col(c).isNotNull(), F.col("n") * (1 << 20) + F.col(c).bitwiseAND(F.lit((1 << 20) - 1)))
+    x = forms.groupBy("pid").agg(
+        F.max_by("g", by("g")).alias("g"), F.max_by("mask", by("g")).alias("own"), F.bit_or("mask").alias("any"), F.max_by("m", by("m")).alias("m"), F.min("o").alias("o"),
+        F.max(F.when(F.col("org").isNotNull() | F.col("o").isNotNull(), 1).otherwise(0)).alias("h"),
     )
-
-
-def _letters(given: Column, initial: Column) -> Column:
-    """The initials a profile may be written with."""
-    fits = F.create_map(*[F.lit(x) for k, v in _LETTERS.items() for x in (k, "".join(sorted(v)))])
-    return F.coalesce(F.try_element_at(fits, given), F.substr(given, F.lit(1), F.lit(1)), initial)
-
-
-def _stars(keys: DataFrame, strict: bool = True) -> DataFrame:
-    """Stars of the blocks (key, pid, given, initial, middle, orcid, n) that can only mean one person."""
-    b = keys.groupBy("key").agg(
-        F.min("pid").alias("a"), F.count("*").alias("k"), F.min("given").alias("g1"), F.max("given").alias("g2"), F.min("orcid").alias("o1"), F.max("orcid").alias("o2"),
-        F.min("middle").alias("m1"), F.max("middle").alias("m2"), F.min("initial").alias("i1"), F.max("initial").alias("i2"),
-    ).where("k > 1")
-    one = lambda a, b_: F.col(a).isNull() | (F.col(a) == F.col(b_))
-    fits = F.col("g1").isNull() & one("i1", "i2") | F.col("g1").isNotNull() & F.contains(_letters(F.col("g1"), F.lit("")), F.col("i1")) & F.contains(_letters(F.col("g1"), F.lit("")), F.col("i2"))
-    fits = F.coalesce(fits, F.col("i1").isNull())
-    ok = b.where(one("o1", "o2") & ((one("g1", "g2") & one("m1", "m2") & fits) if strict else F.lit(True))).select("key", "a")
-    return keys.join(ok, "key").select("a", F.col("pid").alias("b"))
-
-
-def _keys(p: DataFrame, slips: bool) -> tuple[DataFrame, DataFrame]:
-    """(keys that hold whatever the given name, keys of blocks to be judged); with ``slips``, the many keys that
-    bridge a slip of the pen or an initial too."""
-    base = ["pid", "given", "initial", "middle", "orcid", "n"]
-    k = F.xxhash64  # keys are hashes: they are many, and short ones shuffle and compare faster
-    s2 = F.substr("surname", F.lit(1), F.lit(2))
-    sure = F.array(F.when(F.col("orcid").isNotNull(), k(F.lit("orcid"), "orcid")))
-    by_id = F.transform("authors", lambda a: k(F.lit("id"), a, s2))
-    named = F.col("given").isNotNull()
-    at = F.transform("orgs", lambda o: k(F.lit("at"), o, F.col("surname"), F.coalesce("given", F.lit("-"))))
-    letters = F.split(_letters(F.col("given"), F.col("initial")), "")
-    by_letter = F.flatten(F.transform("orgs", lambda o: F.transform(F.filter(letters, lambda c: c != ""), lambda c: k(F.lit("letter"), o, F.col("surname"), c))))
-    slip_s = F.flatten(F.transform("orgs", lambda o: F.transform(_slip_keys("surname"), lambda s: k(F.lit("slip"), o, F.substr("initial", F.lit(1), F.lit(1)), s))))
-    slip_g = F.when(named, F.flatten(F.transform("orgs", lambda o: F.transform(_slip_keys("given"), lambda s: k(F.lit("given"), o, F.col("surname"), s)))))
-    known = F.filter("places", lambda w: w["work"].isNotNull())
-    work = F.transform(known, lambda w: k(F.lit("work"), w["work"], F.coalesce(w["position"], F.lit(-1)), F.substr("surname", F.lit(1), F.lit(3))))
-    work_tail = F.transform(known, lambda w: k(F.lit("work'"), w["work"], F.coalesce(w["position"], F.lit(-1)), F.reverse(F.substr(F.reverse("surname"), F.lit(1), F.lit(4)))))
-    work_name = F.transform(known, lambda w: k(F.lit("in"), w["work"], F.col("surname"), F.coalesce("given", F.lit("-"))))
-    none = F.array().cast("array<bigint>")
-    explode = lambda *a: F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(x, none) for x in a]))))
-    free = p.select(*base, explode(sure, by_id).alias("key")).where("key is not null")
-    if not slips:
-        return free, p.select(*base, explode(F.when(named, at), work, F.when(named, work_name)).alias("key"))
-    plain = p.select(*base, explode(F.when(named, at), by_letter, slip_s, work, work_tail, F.when(named, work_name)).alias("key"))
-    # two spellings of a given name one slip apart are one, so they are judged without it
-    given = p.withColumn("key", explode(slip_g)).select("pid", F.lit(None).cast("string").alias("given"), F.lit(None).cast("string").alias("initial"), "middle", "orcid", "n", "key")
-    return free, plain.unionByName(given)
-
-
-def _last_keys(m: DataFrame, profiles: DataFrame, p: DataFrame) -> DataFrame:
-    """Keys of name and neighbour in the author list, and of the name alone where at most one profile of that name
-    has an organisation or ORCID."""
-    base = ["pid", "given", "initial", "middle", "orcid", "n"]
-    x = m.join(profiles, "id").select("ordinal", "position", "pid")
-    around = x.select("ordinal", F.explode(F.array(*[F.col("position") + d for d in (-3, -2, -1, 1, 2, 3)])).alias("position"), F.col("pid").alias("other"))
-    pairs = x.join(around, ["ordinal", "position"]).select("pid", "other").distinct()
-    who = F.xxhash64(F.lit("with"), "surname", F.coalesce("given", F.lit("-")), "other")
-    with_ = pairs.join(p, "pid").where("given is not null").select(*base, who.alias("key"))
-    name = F.when(F.col("given").isNotNull(), F.xxhash64(F.lit("name"), "surname", "given"))
-    letter = F.transform(F.filter(F.split(_letters(F.col("given"), F.col("initial")), ""), lambda c: c != ""), lambda c: F.xxhash64(F.lit("short"), F.col("surname"), c))
-    alone = p.select(*base, "main_org", F.explode(F.concat(F.array(name), letter)).alias("key")).where("key is not null")
-    homes = alone.groupBy("key").agg(F.count_if(F.col("main_org").isNotNull() | F.col("orcid").isNotNull()).alias("homes")).where("homes <= 1")
-    return with_.unionByName(alone.join(homes, "key").select(*base, "key"))
-
-
-def people(m: DataFrame) -> DataFrame:
+    return x.select("pid", "g", "m", "o", F.when(F.col("g").isNotNull(), F.col("own")).otherwise(F.col("any")).alias("mask"), "h")
+
+
+def _bits(mask: str, most: int = 4) -> list[Column]:
+    """The single bits of a mask, null where there are no more (no name has more initials: ``_LETTERS``)."""
+    out, rest = [], F.coalesce(mask, F.lit(0)).cast("bigint")
+    for _ in range(most):
+        low = rest.bitwiseAND(-rest)
+        out.append(F.when(low != 0, low))
+        rest = rest.bitwiseXOR(low)
+    return out
+
+
+def _combined(forms: DataFrame, surnames: DataFrame, givens: DataFrame) -> DataFrame:
+    """(key, f, pid): the keys of every combination of a profile's names and organisations, with slips of the pen."""
+    k = F.xxhash64
+    names_ = forms.select("pid", "s", "g", "mask").distinct()
+    at = forms.where("org is not null").select("pid", "org").distinct()
+    x = names_.join(at, "pid")
+    s = x.join(surnames.withColumnRenamed("code", "s"), "s").select("pid", F.explode(F.array(
+        F.when(F.col("g").isNotNull(), k(F.lit("at"), "org", "slip", "g")),
+        *[F.when(b.isNotNull(), k(F.lit("letter"), "org", "slip", b)) for b in _bits("mask")],
+    )).alias("key")).where("key is not null").withColumn("f", F.lit(JUDGED))
+    g = x.where("g is not null").select("pid", "org", "s", "g").distinct().join(givens.withColumnRenamed("code", "g").where("g <> slip or alone = 0"), "g")
+    g = g.select("pid", k(F.lit("given"), "org", "s", "slip").alias("key"), F.lit(NAMELESS).alias("f"))
+    return s.unionByName(g).select("key", "f", "pid").distinct()
+
+
+def _weak(m: DataFrame, pids: DataFrame, forms: DataFrame) -> DataFrame:
+    """(key, f, pid) by name and neighbour in the author list, and by the name alone."""
+    k = F.xxhash64
+    names_ = forms.where("g is not null").select("pid", "s", "g").distinct()
+    several = names_.groupBy("s", "g").agg(F.min("pid").alias("p1"), F.max("pid").alias("p2")).where("p1 < p2").select("s", "g", F.lit(1).alias("several"))
+    # only a neighbour that stands beside two mentions can link them
+    often = forms.groupBy("pid").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("pid").alias("p"))
+    x = m.select("id", "ordinal", "position", "s", "g").join(pids, "id").join(several, ["s", "g"], "left").join(often, F.col("pid") == F.col("p"), "left")
+    w = Window.partitionBy("ordinal").orderBy("position", "id")
+    who = F.when(F.col("p").isNotNull(), F.col("pid"))
+    x = x.select("s", "g", "pid", "several", F.array(*[F.lag(who, d).over(w) for d in (-3, -2, -1, 1, 2, 3)]).alias("others"))
+    beside = x.where("several = 1").select("s", "g", "pid", F.explode("others").alias("other")).where("other is not null and other <> pid")
+    beside = beside.select(k(F.lit("with"), "s", "g", "other").alias("key"), F.lit(JUDGED).alias("f"), "pid")
+    short = forms.select("pid", F.explode(F.array(
+        F.when(F.col("g").isNotNull(), k(F.lit("name"), "s", "g")), *[F.when(b.isNotNull(), k(F.lit("short"), "s", b)) for b in _bits("mask")],
+    )).alias("key")).where("key is not null")
+    return beside.unionByName(short.select("key", F.lit(HOMELESS).alias("f"), "pid")).distinct()
+
+
+class _State:
+    """Profiles between rounds: where each mention and first profile went, and the keys made so far."""
+
+    def __init__(self, m: DataFrame, moves: DataFrame, slips: tuple[DataFrame, DataFrame]):
+        self.m, self.slips = m, slips
+        self.pids = materialize(m.select("id").join(moves.withColumnRenamed("b", "id"), "id", "left").select("id", F.coalesce("t", "id").alias("pid")), "pids")
+        # the spellings of each first profile with their numbers
+        facts = m.join(self.pids, "id").groupBy(F.col("pid").alias("first"), "s", "g", "mask", "m", "o", "org").agg(F.count("*").alias("n"))
+        self.facts = materialize(facts, "facts")
+        self.at = materialize(self.facts.select("first").distinct().withColumn("pid", F.col("first")), "at")
+        self.keys: list[DataFrame] = []
+
+    def forms(self) -> DataFrame:
+        return self.facts.join(self.at, "first").drop("first")
+
+    def follow(self, moves: DataFrame) -> None:
+        """Move profiles."""
+        old, self.at = self.at, materialize(self.at.join(moves.select(F.col("b").alias("pid"), "t"), "pid", "left").select("first", F.coalesce("t", "pid").alias("pid")), "at")
+        release(old)
+
+    def mentions(self) -> DataFrame:
+        return self.pids.withColumnRenamed("pid", "first").join(self.at, "first").select("id", "pid")
+
+    def known(self) -> DataFrame:
+        out = self.keys[0]
+        for k in self.keys[1:]:
+            out = out.unionByName(k)
+        return out
+
+
+def _strong(state: _State, touched: DataFrame | None) -> DataFrame:
+    """The moves of a round over the keys of identifiers, works and organisations; ``touched``: the profiles that changed
+    since the last one, or None for all."""
+    forms = materialize(state.forms(), "forms")
+    facts = _attributes(forms)
+    if touched is None:
+        state.keys.append(materialize(_combined(forms, *state.slips).withColumnRenamed("pid", "first"), "keys"))
+        out = _moves(state.known().withColumnRenamed("first", "pid").join(facts, "pid"))
+    else:
+        changed = join_checked(forms, touched, ["pid"], "left_semi")
+        new = materialize(_combined(changed, *state.slips).withColumnRenamed("pid", "first"), "keys")
+        state.keys.append(new)
+        all_ = state.known()
+        moved = materialize(join_checked(state.at, touched, ["pid"], "left_semi").select("first"), "moved")
+        mine = materialize(join_checked(all_, moved, ["first"], "left_semi").select("key").distinct(), "touched")
+        near_ = join_checked(all_, mine, ["key"], "left_semi")
+        k = near_.join(state.at, "first").select("key", "f", "pid").distinct().join(facts, "pid")
+        k = materialize(k, "keys")
+        out = _moves(k)
+        for x in (moved, mine, k):
+            release(x)
+    release(forms)
+    return out
+
+
+def people(m: DataFrame, links: DataFrame) -> DataFrame:
     """(id, pid): the mentions of one person share ``pid``."""
-    profiles = materialize(m.select("id", F.col("id").alias("pid")), "profiles")
-    for phase in ("strong", "strong", "all", "name"):
-        for _ in range(1 if phase == "strong" else MAX_ROUNDS):
-            p = materialize(_profiles(m, profiles), "described")
-            if phase == "name":
-                stars = _stars(_last_keys(m, profiles, p))
-            else:
-                free, judged = _keys(p, phase == "all")
-                stars = _stars(free, strict=False).unionByName(_stars(judged))
-            old, (profiles, moved) = profiles, _merge(profiles, stars)
-            release(p)
-            if not moved:
+    words = _vocabulary(m, "surname", "s").withColumnRenamed("s", "code")
+    givens = _vocabulary(m.where("g is not null"), "given", "g").withColumnRenamed("g", "code")
+    # a given name that is like no other has no key for slips
+    alone = givens.groupBy("code").agg(F.when(F.count("*") == 1, 1).otherwise(0).alias("alone"))
+    first = materialize(_mention_keys(m, links), "keys")
+    moves = _moves(first)
+    state = _State(m, moves, (words, materialize(givens.join(alone, "code"), "givens")))
+    # identifiers and works stay keys where they did not merge all at once; later rounds make no more of them
+    rest = materialize(first.where(F.col("f") != PLAIN).select("key", "f", F.col("pid").alias("id")).join(state.pids, "id").select("key", "f", F.col("pid").alias("first")), "keys")
+    several = rest.groupBy("key").agg(F.min("first").alias("p1"), F.max("first").alias("p2")).where("p1 < p2").select("key")
+    state.keys.append(materialize(rest.join(several, "key").distinct(), "keys"))
+    release(rest)
+    release(first)
+    touched = None
+    while True:
+        while True:
+            moves = _strong(state, touched)
+            if moves.isEmpty():
                 break
-            release(old)
-    return profiles
+            touched = materialize(moves.select(F.col("t").alias("pid")).distinct(), "touched")
+            state.follow(moves)
+        forms = materialize(state.forms(), "forms")
+        weak = materialize(_weak(m, state.mentions(), forms), "weak")
+        moves = _moves(weak.join(_attributes(forms), "pid"))
+        release(weak)
+        release(forms)
+        if moves.isEmpty():
+            return state.mentions()
+        touched = materialize(moves.select(F.col("t").alias("pid")).distinct(), "touched")
+        state.follow(moves)
 
 
 def entity_pairs(groups: DataFrame, kind: str) -> DataFrame:
@@ -351,13 +552,21 @@ def entity_pairs(groups: DataFrame, kind: str) -> DataFrame:
     return g.select(F.col("id").alias("id_a"), "pid").join(g.select(F.col("id").alias("id_b"), "pid"), "pid").where("id_a < id_b").select(F.lit(kind).alias("kind"), "id_a", "id_b")
 
 
+def _resolved(authors: DataFrame, orgs: DataFrame, papers: DataFrame, match_pairs: DataFrame) -> DataFrame:
+    m, links = mentions(authors, orgs), materialize(_links(papers, match_pairs), "links")
+    out = people(m, links)
+    release(links)
+    return out
+
+
 def same_names(authors: DataFrame, affiliations: DataFrame, papers: DataFrame, match_pairs: DataFrame) -> DataFrame:
     """p3_found."""
-    who = people(mentions(authors, affiliations, papers, match_pairs))
-    orgs = organisations(affiliations).select(F.col("affiliation_id").alias("id"), F.col("org").alias("pid"))
-    return entity_pairs(who, "person").unionByName(entity_pairs(orgs, "organisation"))
+    orgs = materialize(organisations(affiliations), "organisations")
+    who = materialize(_resolved(authors, orgs, papers, match_pairs), "people")
+    return entity_pairs(who, "person").unionByName(entity_pairs(orgs.select(F.col("affiliation_id").alias("id"), F.col("org").alias("pid")), "organisation"))
 
 
 def person_groups(authors: DataFrame, affiliations: DataFrame, papers: DataFrame, match_pairs: DataFrame) -> DataFrame:
     """(mention_id, person_id) of every mention of somebody."""
-    return people(mentions(authors, affiliations, papers, match_pairs)).select(F.col("id").alias("mention_id"), F.col("pid").alias("person_id"))
+    who = _resolved(authors, materialize(organisations(affiliations), "organisations"), papers, match_pairs)
+    return who.select(F.col("id").alias("mention_id"), F.col("pid").alias("person_id"))
