@@ -17,7 +17,7 @@ profiles without one, which fit several parts, are left out. A profile whose blo
 people and stays where it is; so do merges that would chain two ORCIDs. Keys, from strong to weak: ORCID; author id;
 the same work and place in its author list; name and organisation, also with one slip in either name; and when these
 merge nothing more, name and a neighbour in the author list, and the name alone where at most one of its profiles
-has an organisation or ORCID. After the weak keys the strong ones are tried again.
+has an organisation or ORCID. Once the weak keys have been tried, changed profiles are matched by weak and strong ones.
 
 Defined results: null and placeholder names ("et al.", "Anonymous") are in no pair; a null affiliation says nothing;
 an organisation without a proper name is nobody; repeated rows with different ids are pairs; people with equal names
@@ -246,7 +246,7 @@ def _vocabulary(words: DataFrame, word: str, code: str) -> DataFrame:
     return materialize(w.join(shared, "slip").where(f"slip <> {code}").select(code, "slip").unionByName(own), "slips")
 
 
-#: What a block is judged by: its profiles, given names, first middle initials, ORCIDs, fitting initials and homes.
+#: What a block is judged by: its profiles' given names, first middle initials, ORCIDs, fitting initials and homes.
 FACTS = ("g", "m", "o", "mask", "h")
 #: Kinds of keys: sure, unless ORCIDs differ; judged; judged without the given name; judged, and at most one home.
 SURE, JUDGED, NAMELESS, HOMELESS = range(4)
@@ -255,48 +255,45 @@ PLAIN = 4
 
 
 def _judged(keys: DataFrame) -> DataFrame:
-    """Of keys (key, f, pid, *FACTS) the blocks of two or more profiles: (key, a, f, ob, one, mixed). ``one``: it can only
-    mean one person; ``mixed``: it might if it were split by middle initials."""
-    free = F.col("f") == NAMELESS
+    """Of keys (key, f, pid, *FACTS) the blocks of two or more profiles: (key, a, ob, one, mixed), the first profile, the
+    ORCID, ``one``: it can only mean one person, ``mixed``: it might if it were split by middle initials."""
+    given, home = F.when(F.col("f") != NAMELESS, F.col("g")), F.when(F.col("h") > 0, F.col("pid"))
     b = keys.groupBy("key").agg(
-        F.min("pid").alias("a"), F.max("pid").alias("z"), F.min("f").alias("f"), F.sum("h").alias("h"), F.min("m").alias("m1"), F.max("m").alias("m2"),
-        F.min(F.when(~free, F.col("g"))).alias("g1"), F.max(F.when(~free, F.col("g"))).alias("g2"), F.min("o").alias("o1"), F.max("o").alias("o2"),
-        F.bit_and(F.when(~free, F.col("mask"))).alias("mask"),
+        F.min("pid").alias("a"), F.max("pid").alias("z"), F.min("f").alias("f"), F.min(home).alias("h1"), F.max(home).alias("h2"), F.min("m").alias("m1"), F.max("m").alias("m2"),
+        F.min(given).alias("g1"), F.max(given).alias("g2"), F.min("o").alias("o1"), F.max("o").alias("o2"), F.bit_and(F.when(F.col("f") != NAMELESS, F.col("mask"))).alias("mask"),
     ).where("a < z")
     same = lambda x: F.col(f"{x}1").eqNullSafe(F.col(f"{x}2"))
-    named = same("g") & (F.coalesce("mask", F.lit(1)) != 0) & ((F.col("f") != HOMELESS) | (F.col("h") <= 1))
+    named = same("g") & (F.coalesce("mask", F.lit(1)) != 0) & ((F.col("f") != HOMELESS) | same("h"))
     sure = F.col("f") == SURE
-    one = same("o") & (sure | named & same("m"))
-    return b.select("key", "a", "f", F.col("o1").alias("ob"), one.alias("one"), (~sure & named & ~same("m")).alias("mixed"))
+    return b.select("key", "a", F.col("o1").alias("ob"), (same("o") & (sure | named & same("m"))).alias("one"), (~sure & named & ~same("m")).alias("mixed"))
 
 
-def _members(keys: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(a, b, ob): every profile of the blocks that name one person, with the block's first profile and ORCID."""
-    b = materialize(blocks.where("one or mixed"), "blocks")
-    whole = keys.select("key", "pid").join(b.where("one").select("key", "a", "ob"), "key").select("a", F.col("pid").alias("b"), "ob")
-    parts = keys.where("m is not null").join(b.where("mixed").select("key"), "key").withColumn("key", F.xxhash64("key", "m"))
-    ok = _judged(parts).where("one").select("key", "a", "ob")
-    split = parts.select("key", "pid").join(ok, "key").select("a", F.col("pid").alias("b"), "ob")
-    return whole.unionByName(split)
+def _multi(keys: DataFrame) -> DataFrame:
+    """The keys of blocks of two or more profiles; written. Most blocks have one, and two numbers show which."""
+    k = keys.select("key", "f", "pid", *FACTS)
+    several = k.groupBy("key").agg(F.min("pid").alias("p1"), F.max("pid").alias("p2")).where("p1 < p2").select("key")
+    return materialize(k.join(several, "key"), "multi")
 
 
-def _moves(keys: DataFrame) -> DataFrame:
+def _moves(multi: DataFrame) -> DataFrame:
     """(b, t): profiles of consistent blocks with the smaller profile each is merged into. What a chain leaves apart
     shares its keys again in the next round."""
-    members = _members(keys, _judged(keys))
+    blocks = materialize(_judged(multi).where("one or mixed"), "blocks")
+    parts = multi.where("m is not null").join(blocks.where("mixed").select("key"), "key").select(F.xxhash64("key", "m").alias("key"), "f", "pid", *FACTS)
+    split = parts.select("key", "pid").join(_judged(parts).where("one").select("key", "a", "ob"), "key")
+    whole = multi.select("key", "pid").join(blocks.where("one").select("key", "a", "ob"), "key")
+    members = whole.select("a", F.col("pid").alias("b"), "ob").unionByName(split.select("a", F.col("pid").alias("b"), "ob"))
     per = members.groupBy("b").agg(F.min("a").alias("a"), F.min("ob").alias("ob"), F.max("ob").alias("ob2"))
     m = materialize(per.where("ob <=> ob2 and a < b").select("b", "a", "ob"), "moves")
     t = m.select("b", F.col("a").alias("t"), "a", "ob")
     for _ in range(2):  # jumps along chains
         t = t.join(t.select(F.col("b").alias("t"), F.col("t").alias("further")), "t", "left").select("b", F.coalesce("further", "t").alias("t"), "a", "ob")
     t = materialize(t, "targets")
-    held = t.groupBy("t").agg(F.min("ob").alias("first"), F.max("ob").alias("last"))
-    clash = held.where("first < last").select("t", "first")
+    clash = t.groupBy("t").agg(F.min("ob").alias("first"), F.max("ob").alias("last")).where("first < last").select("t", "first")
     # a chain that would join two ORCIDs is cut down to the direct neighbours that share the smaller one
-    out = t.join(clash, "t", "left").where("first is null or (ob = first and a = t)").select("b", "t")
-    out = materialize(out, "moves")
-    release(m)
-    release(t)
+    out = materialize(t.join(clash, "t", "left").where("first is null or (ob = first and a = t)").select("b", "t"), "moves")
+    for x in (blocks, m, t):
+        release(x)
     return out
 
 
@@ -423,38 +420,32 @@ def _bits(mask: str, most: int = 4) -> list[Column]:
     return out
 
 
-def _combined(forms: DataFrame, surnames: DataFrame, givens: DataFrame) -> DataFrame:
-    """(key, f, pid): the keys of every combination of a profile's names and organisations, with slips of the pen."""
+def _combined(x: DataFrame, surnames: DataFrame, givens: DataFrame) -> DataFrame:
+    """(key, f, and the columns of x but the names): keys of names at organisations, x (pid, s, g, mask, org, ...), with
+    slips of the pen."""
     k = F.xxhash64
-    names_ = forms.select("pid", "s", "g", "mask").distinct()
-    at = forms.where("org is not null").select("pid", "org").distinct()
-    x = names_.join(at, "pid")
-    s = x.join(surnames.withColumnRenamed("code", "s"), "s").select("pid", F.explode(F.array(
-        F.when(F.col("g").isNotNull(), k(F.lit("at"), "org", "slip", "g")),
-        *[F.when(b.isNotNull(), k(F.lit("letter"), "org", "slip", b)) for b in _bits("mask")],
-    )).alias("key")).where("key is not null").withColumn("f", F.lit(JUDGED))
-    g = x.where("g is not null").select("pid", "org", "s", "g").distinct().join(givens.withColumnRenamed("code", "g").where("g <> slip or alone = 0"), "g")
-    g = g.select("pid", k(F.lit("given"), "org", "s", "slip").alias("key"), F.lit(NAMELESS).alias("f"))
-    return s.unionByName(g).select("key", "f", "pid").distinct()
-
-
-def _weak(m: DataFrame, pids: DataFrame, forms: DataFrame) -> DataFrame:
-    """(key, f, pid) by name and neighbour in the author list, and by the name alone."""
-    k = F.xxhash64
-    names_ = forms.where("g is not null").select("pid", "s", "g").distinct()
+    rest = [c for c in x.columns if c not in ("s", "org")]
+    s = x.join(surnames.withColumnRenamed("code", "s"), "s").select(F.explode(F.array(
+        F.when(F.col("g").isNotNull(), k(F.lit("at"), "org", "slip", "g")), *[F.when(b.isNotNull(), k(F.lit("letter"), "org", "slip", b)) for b in _bits("mask")],
+    )).alias("key"), F.lit(JUDGED).alias("f"), *rest).where("key is not null")
+    near_ = givens.withColumnRenamed("code", "g").where("g <> slip or alone = 0").drop("alone")
+    g = x.where("g is not null").join(near_, "g").select(k(F.lit("given"), "org", "s", "slip").alias("key"), F.lit(NAMELESS).alias("f"), *rest)
+    return s.unionByName(g)
+
+
+def _names_at(forms: DataFrame, by: str) -> DataFrame:
+    """Every name of a profile with every organisation of it."""
+    return forms.select(by, "s", "g", "mask").distinct().join(forms.where("org is not null").select(by, "org").distinct(), by)
+
+
+def _neighbours(state: _State, forms: DataFrame) -> DataFrame:
+    """(sg, other, first): mentions of a name that several profiles have, and who stands up to three places away."""
+    names_ = forms.where("g is not null")
     several = names_.groupBy("s", "g").agg(F.min("pid").alias("p1"), F.max("pid").alias("p2")).where("p1 < p2").select("s", "g", F.lit(1).alias("several"))
-    # only a neighbour that stands beside two mentions can link them
-    often = forms.groupBy("pid").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("pid").alias("p"))
-    x = m.select("id", "ordinal", "position", "s", "g").join(pids, "id").join(several, ["s", "g"], "left").join(often, F.col("pid") == F.col("p"), "left")
+    x = state.m.select("id", "ordinal", "position", "s", "g").join(state.pids, "id").join(several, ["s", "g"], "left")
     w = Window.partitionBy("ordinal").orderBy("position", "id")
-    who = F.when(F.col("p").isNotNull(), F.col("pid"))
-    x = x.select("s", "g", "pid", "several", F.array(*[F.lag(who, d).over(w) for d in (-3, -2, -1, 1, 2, 3)]).alias("others"))
-    beside = x.where("several = 1").select("s", "g", "pid", F.explode("others").alias("other")).where("other is not null and other <> pid")
-    beside = beside.select(k(F.lit("with"), "s", "g", "other").alias("key"), F.lit(JUDGED).alias("f"), "pid")
-    short = forms.select("pid", F.explode(F.array(
-        F.when(F.col("g").isNotNull(), k(F.lit("name"), "s", "g")), *[F.when(b.isNotNull(), k(F.lit("short"), "s", b)) for b in _bits("mask")],
-    )).alias("key")).where("key is not null")
-    return beside.unionByName(short.select("key", F.lit(HOMELESS).alias("f"), "pid")).distinct()
+    x = x.select(F.xxhash64(F.lit("with"), "s", "g").alias("sg"), "pid", "several", F.array(*[F.lag("pid", d).over(w) for d in (-3, -2, -1, 1, 2, 3)]).alias("others"))
+    return x.where("several = 1").select("sg", F.explode("others").alias("other"), F.col("pid").alias("first")).where("other is not null and other <> first")
 
 
 class _State:
@@ -467,49 +458,98 @@ class _State:
         facts = m.join(self.pids, "id").groupBy(F.col("pid").alias("first"), "s", "g", "mask", "m", "o", "org").agg(F.count("*").alias("n"))
         self.facts = materialize(facts, "facts")
         self.at = materialize(self.facts.select("first").distinct().withColumn("pid", F.col("first")), "at")
-        self.keys: list[DataFrame] = []
-
-    def forms(self) -> DataFrame:
-        return self.facts.join(self.at, "first").drop("first")
+        self.keys: list[DataFrame] = []  # all keys that may meet new ones
+        self.multi: list[DataFrame] = []  # the keys of blocks that several profiles had
+        self.beside: DataFrame | None = None
 
-    def follow(self, moves: DataFrame) -> None:
-        """Move profiles."""
+    def follow(self, moves: DataFrame) -> DataFrame:
+        """Move profiles; those that changed."""
         old, self.at = self.at, materialize(self.at.join(moves.select(F.col("b").alias("pid"), "t"), "pid", "left").select("first", F.coalesce("t", "pid").alias("pid")), "at")
         release(old)
+        return materialize(moves.select(F.col("t").alias("pid")).distinct(), "touched")
+
+    def forms(self, some: DataFrame | None = None) -> DataFrame:
+        """The spellings of all profiles, or of some (first, pid)."""
+        return self.facts.join(self.at, "first") if some is None else join_checked(self.facts, some, ["first"])
+
+    def members(self, pids: DataFrame) -> DataFrame:
+        return materialize(join_checked(self.at, pids, ["pid"], "left_semi"), "members")
 
     def mentions(self) -> DataFrame:
         return self.pids.withColumnRenamed("pid", "first").join(self.at, "first").select("id", "pid")
 
-    def known(self) -> DataFrame:
-        out = self.keys[0]
-        for k in self.keys[1:]:
-            out = out.unionByName(k)
-        return out
 
+def _united(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0].select("key", "f", "first")
+    for t in tables[1:]:
+        out = out.unionByName(t.select("key", "f", "first"))
+    return out
 
-def _strong(state: _State, touched: DataFrame | None) -> DataFrame:
-    """The moves of a round over the keys of identifiers, works and organisations; ``touched``: the profiles that changed
-    since the last one, or None for all."""
+
+def _first_round(state: _State, rest: DataFrame) -> DataFrame:
+    """The moves by names and organisations, and by what is left of the first keys."""
+    forms = state.facts.withColumnRenamed("first", "pid")
+    facts = materialize(_attributes(forms), "attributes")
+    # the names' own given name and initials make the keys; what is judged is the profile's
+    x = _names_at(forms, "pid").join(facts.select("pid", *[F.col(c).alias(f"p_{c}") for c in FACTS]), "pid")
+    k = _combined(x, *state.slips).select("key", "f", "pid", *[F.col(f"p_{c}").alias(c) for c in FACTS])
+    k = materialize(k, "keys")
+    state.keys.append(k.select("key", "f", F.col("pid").alias("first")))
+    multi = _multi(k.unionByName(rest.join(facts, "pid")))
+    state.multi.append(multi.select("key", "f", F.col("pid").alias("first")))
+    release(facts)
+    return _moves(multi)
+
+
+def _weak_round(state: _State) -> DataFrame:
+    """The moves by name and neighbour in the author list, and by the name alone."""
     forms = materialize(state.forms(), "forms")
-    facts = _attributes(forms)
-    if touched is None:
-        state.keys.append(materialize(_combined(forms, *state.slips).withColumnRenamed("pid", "first"), "keys"))
-        out = _moves(state.known().withColumnRenamed("first", "pid").join(facts, "pid"))
-    else:
-        changed = join_checked(forms, touched, ["pid"], "left_semi")
-        new = materialize(_combined(changed, *state.slips).withColumnRenamed("pid", "first"), "keys")
-        state.keys.append(new)
-        all_ = state.known()
-        moved = materialize(join_checked(state.at, touched, ["pid"], "left_semi").select("first"), "moved")
-        mine = materialize(join_checked(all_, moved, ["first"], "left_semi").select("key").distinct(), "touched")
-        near_ = join_checked(all_, mine, ["key"], "left_semi")
-        k = near_.join(state.at, "first").select("key", "f", "pid").distinct().join(facts, "pid")
-        k = materialize(k, "keys")
-        out = _moves(k)
-        for x in (moved, mine, k):
-            release(x)
-    release(forms)
-    return out
+    facts = materialize(_attributes(forms), "attributes")
+    state.beside = materialize(_neighbours(state, forms), "beside")
+    # only a neighbour that stands beside two mentions can link them
+    often = forms.groupBy("pid").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("pid").alias("to"))
+    at = state.at.select(F.col("first").alias("other"), F.col("pid").alias("to")).join(often, "to")
+    beside = state.beside.join(at, "other").join(state.at, "first").select(F.xxhash64("sg", "to").alias("key"), F.lit(JUDGED).alias("f"), "pid")
+    k = F.xxhash64
+    alone = forms.select(F.explode(F.array(
+        F.when(F.col("g").isNotNull(), k(F.lit("name"), "s", "g")), *[F.when(b.isNotNull(), k(F.lit("short"), "s", b)) for b in _bits("mask")],
+    )).alias("key"), F.lit(HOMELESS).alias("f"), "pid").where("key is not null")
+    keys = materialize(beside.unionByName(alone).distinct().join(facts, "pid"), "keys")
+    multi = _multi(keys)
+    state.multi.append(multi.select("key", "f", F.col("pid").alias("first")))
+    for x in (keys, forms, facts):
+        release(x)
+    return _moves(multi)
+
+
+def _later_round(state: _State, touched: DataFrame) -> DataFrame:
+    """The moves in the blocks of the profiles that changed, with the keys of their new combinations."""
+    moved = state.members(touched)
+    forms = materialize(state.forms(moved), "forms")
+    code = F.xxhash64("pid", "s", F.coalesce("g", F.lit(0)), F.coalesce("mask", F.lit(0)), "org").alias("code")
+    old = _names_at(forms, "first").join(moved, "first").select(code)
+    x = _names_at(forms, "pid").withColumn("code", code).join(old, "code", "left_anti").drop("code")
+    new = materialize(_combined(x, *state.slips).select("key", "f", "pid"), "keys")
+    multi = _united(state.multi)
+    shared = materialize(join_checked(multi.select("key", "first"), moved.select("first"), ["first"], "left_semi", counted=moved).select("key").distinct(), "shared")
+    rows = join_checked(multi, shared, ["key"], "left_semi")
+    met = None
+    if not new.isEmpty():
+        met = materialize(new.select("key").distinct(), "met")
+        rows = rows.unionByName(join_checked(_united(state.keys), met, ["key"], "left_semi"))
+    if state.beside is not None:
+        to = moved.select(F.col("first").alias("other"), F.col("pid").alias("to"))
+        beside = join_checked(state.beside, to, ["other"], counted=moved)
+        rows = rows.unionByName(beside.select(F.xxhash64("sg", "to").alias("key"), F.lit(JUDGED).alias("f"), "first"))
+    rows = materialize(rows, "rows")
+    k = materialize(rows.join(state.at, "first").select("key", "f", "pid").unionByName(new).distinct(), "rows")
+    facts = _attributes(state.forms(state.members(materialize(k.select("pid").distinct(), "pids"))))
+    out = _multi(k.join(facts, "pid"))
+    state.multi.append(out.select("key", "f", F.col("pid").alias("first")))
+    state.keys.append(new.withColumnRenamed("pid", "first"))
+    for y in (moved, forms, shared, met, rows, k):
+        release(y)
+    return _moves(out)
 
 
 def people(m: DataFrame, links: DataFrame) -> DataFrame:
@@ -518,32 +558,23 @@ def people(m: DataFrame, links: DataFrame) -> DataFrame:
     givens = _vocabulary(m.where("g is not null"), "given", "g").withColumnRenamed("g", "code")
     # a given name that is like no other has no key for slips
     alone = givens.groupBy("code").agg(F.when(F.count("*") == 1, 1).otherwise(0).alias("alone"))
+    givens = materialize(givens.join(alone, "code"), "givens")
     first = materialize(_mention_keys(m, links), "keys")
-    moves = _moves(first)
-    state = _State(m, moves, (words, materialize(givens.join(alone, "code"), "givens")))
+    multi = _multi(first)
+    state = _State(m, _moves(multi), (words, givens))
     # identifiers and works stay keys where they did not merge all at once; later rounds make no more of them
-    rest = materialize(first.where(F.col("f") != PLAIN).select("key", "f", F.col("pid").alias("id")).join(state.pids, "id").select("key", "f", F.col("pid").alias("first")), "keys")
-    several = rest.groupBy("key").agg(F.min("first").alias("p1"), F.max("first").alias("p2")).where("p1 < p2").select("key")
-    state.keys.append(materialize(rest.join(several, "key").distinct(), "keys"))
-    release(rest)
+    rest = multi.where(F.col("f") != PLAIN).select("key", "f", F.col("pid").alias("id")).join(state.pids, "id").select("key", "f", "pid").distinct()
+    moves = _first_round(state, rest)
     release(first)
-    touched = None
+    weak = False
     while True:
-        while True:
-            moves = _strong(state, touched)
-            if moves.isEmpty():
-                break
-            touched = materialize(moves.select(F.col("t").alias("pid")).distinct(), "touched")
-            state.follow(moves)
-        forms = materialize(state.forms(), "forms")
-        weak = materialize(_weak(m, state.mentions(), forms), "weak")
-        moves = _moves(weak.join(_attributes(forms), "pid"))
-        release(weak)
-        release(forms)
-        if moves.isEmpty():
+        if not moves.isEmpty():
+            moves = _later_round(state, state.follow(moves))
+        elif not weak:  # from here on weak and strong keys are tried together
+            weak = True
+            moves = _weak_round(state)
+        else:
             return state.mentions()
-        touched = materialize(moves.select(F.col("t").alias("pid")).distinct(), "touched")
-        state.follow(moves)
 
 
 def entity_pairs(groups: DataFrame, kind: str) -> DataFrame:
