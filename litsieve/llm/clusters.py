@@ -25,7 +25,7 @@ MAX_HOT = 10_000
 LEAST_HOT = 100_000
 
 
-def hash_to_min(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def hash_to_min(links: DataFrame) -> DataFrame:
     """(v, root) for every vertex of ``links`` (columns a, b): ``root`` is a number that its component's vertices share.
 
     The rounds work on numbers, which aggregate and compare faster than strings; they are given once, in a
@@ -37,7 +37,7 @@ def hash_to_min(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     sets = sets.union(sets.select("v", "v")).distinct()
     sets = materialize(sets, "sets")
     before = None
-    for _ in range(max_rounds):
+    while True:  # every round that changes a set brings a vertex nearer to its component's smallest
         small = sets.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
         small = materialize(small, "smallest")
         # the sets' state: a round that changes none leaves both figures

@@ -30,7 +30,7 @@ SPELLINGS = {
 }
 #: Annotators whose parameters the driver holds (a few numbers each).
 MAX_ANNOTATORS = 1_000_000
-ROUNDS, TOLERANCE = 40, 1e-4
+TOLERANCE = 1e-4
 
 
 def decision(c: Column) -> Column:
@@ -136,7 +136,7 @@ def fit(v: DataFrame) -> tuple[_Model, DataFrame]:
     for w, l, k in zip(rows["who"], rows["label"], rows["count"]):
         c[names.index(w) if len(names) < 50 else np.searchsorted(names, w), int(l)] = k
     m = _Model(names, c)
-    for _ in range(ROUNDS if names else 0):
+    while names:  # expectation-maximisation ends: no round lowers the likelihood
         e = by_item.select("who", "label").mapInPandas(_expect(m), "who int, label int, t double, s double").groupBy("who", "label").agg(F.sum("t").alias("t"), F.sum("s").alias("s")).toPandas()
         truthful, spam = np.zeros_like(c), np.zeros_like(c)
         own = e[e.who >= 0]

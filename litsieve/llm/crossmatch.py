@@ -31,7 +31,9 @@ from litsieve.functions.ids import arxiv_key, doi_key
 from litsieve.llm import clusters
 from litsieve.session import materialize, release
 
-ROUNDS, TOLERANCE, DAMPING = 12, 1e-2, 0.3
+TOLERANCE, DAMPING = 1e-2, 0.3
+#: Rounds after which damping grows, and the damping at which messages that still change are an error.
+PATIENCE, MOST_DAMPING = 20, 0.95
 #: How strongly a work's pairs exclude each other (a library may hold a work twice).
 WORK_FACTOR = 0.3
 GENERIC = 20  # letters under which a title names nothing
@@ -238,10 +240,20 @@ def beliefs(pairs: DataFrame) -> DataFrame:
     """(lib_id, work, prior, belief): marginals of the factor graph, by sum-product messages in log-odds.
 
     ``a`` and ``b`` are the messages from the library's and from the work's factor to a pair; a factor's message to
-    one pair is -log(1 + sum of exp(incoming log-odds) of its other pairs)."""
-    state = pairs.withColumn("a", F.lit(0.0)).withColumn("b", F.lit(0.0))
-    old = None
-    for _ in range(ROUNDS):
+    one pair is -log(1 + sum of exp(incoming log-odds) of its other pairs). Pairs whose record and work have no other
+    get no messages. Rounds go on until no message changes by ``TOLERANCE``; where that takes long, messages are
+    damped more; messages that never settle raise an error."""
+    of_l, of_w = (pairs.groupBy(k).agg(F.count("*").alias(n)).where(f"{n} > 1") for k, n in (("lib_id", "n_l"), ("work", "n_w")))
+    state = pairs.join(of_l, "lib_id", "left").join(of_w, "work", "left").select("lib_id", "work", "prior", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), (F.col("n_l").isNotNull() | F.col("n_w").isNotNull()).alias("linked"))
+    state = materialize(state, "messages")
+    alone, state = state.where("not linked").drop("linked"), state.where("linked").drop("linked")
+    old, damping, rounds = None, DAMPING, 0
+    while True:
+        rounds += 1
+        if rounds % PATIENCE == 0:
+            damping = (1 + damping) / 2
+            if damping > MOST_DAMPING:
+                raise RuntimeError(f"the messages still change after {rounds} rounds")
         to_l = state.withColumn("x", F.exp(F.least(F.col("prior") + F.col("b"), F.lit(30.0))))
         to_w = state.withColumn("y", F.exp(F.least(F.col("prior") + F.col("a"), F.lit(30.0))))
         sl = to_l.groupBy("lib_id").agg(F.sum("x").alias("sx"))
@@ -249,7 +261,7 @@ def beliefs(pairs: DataFrame) -> DataFrame:
         new = to_l.withColumn("y", F.exp(F.least(F.col("prior") + F.col("a"), F.lit(30.0)))).join(sl, "lib_id").join(sw, "work")
         na = -F.log(1 + F.greatest(F.col("sx") - F.col("x"), F.lit(0.0)))
         nb = -F.lit(WORK_FACTOR) * F.log(1 + F.greatest(F.col("sy") - F.col("y"), F.lit(0.0)))
-        mix = lambda was, now: F.lit(DAMPING) * was + F.lit(1 - DAMPING) * now
+        mix = lambda was, now: F.lit(damping) * was + F.lit(1 - damping) * now
         new = new.select("lib_id", "work", "prior", mix(F.col("a"), na).alias("a"), mix(F.col("b"), nb).alias("b"), F.greatest(F.abs(F.col("a") - na), F.abs(F.col("b") - nb)).alias("change"))
         new = materialize(new, "messages")
         release(old)
@@ -258,7 +270,7 @@ def beliefs(pairs: DataFrame) -> DataFrame:
         state = new.drop("change")
         if change is None or change < TOLERANCE:
             break
-    return state.select("lib_id", "work", "prior", (1 / (1 + F.exp(-(F.col("prior") + F.col("a") + F.col("b"))))).alias("belief"))
+    return state.unionByName(alone).select("lib_id", "work", "prior", (1 / (1 + F.exp(-(F.col("prior") + F.col("a") + F.col("b"))))).alias("belief"))
 
 
 def matches(library: DataFrame, papers: DataFrame, match_pairs: DataFrame | None = None, least: float = 0.5) -> DataFrame:

@@ -13,11 +13,13 @@ that many families share count within a chain only. A document has leaked an ite
 ``SHARE`` of its passage.
 
 The passages are a stated query set: they are searched in blocks of bounded size against all documents, in one
-narrow pass each.
+narrow pass each. Families and what they share are found over all passages beforehand, by joins, so that no result
+depends on where a block ends; the driver streams the passages and holds one block at a time.
 
 Defined results: null and empty texts and passages match nothing; repeated documents each match; items with
-equal passages are each reported; a passage of fewer than ``ANCHOR`` words matches only as a whole; texts of any
-length are read whole; an empty table gives no rows.
+equal passages are each reported; a passage of fewer than ``ANCHOR`` words matches only as a whole; ``longest`` is the
+longest verbatim match of the chains' documents, whatever its length, the first of equals; texts of any length are
+read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +28,16 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from litsieve.llm import clusters
+from litsieve.session import materialize
 
 #: A third of the passage, less the words that a light edit replaces.
 SHARE = 0.27
@@ -62,12 +68,19 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def runs(ws: list[str]) -> list[int]:
+    """Of a passage's words, the hashes of its runs of ``ANCHOR`` words."""
+    return [xxh64_intdigest(" ".join(ws[k : k + ANCHOR])) - (1 << 63) for k in range(len(ws) - ANCHOR + 1)]
+
+
 class Queries:
-    """The passages of a block as word numbers (0: none), with keys of their suffixes."""
+    """The passages of a block (item, text, runs that many families share) as word numbers (0: none), with keys of their
+    suffixes."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        parts = [(i, words(p)) for i, p in items]
-        parts = [(i, w) for i, w in parts if w]
+    def __init__(self, items: list[tuple[int, str, set[int]]]):
+        parts = [(i, words(p), shared) for i, p, shared in items]
+        shared = [x[2] for x in parts if x[1]]
+        parts = [(i, w) for i, w, _ in parts if w]
         self.vocab = {w: k + 1 for k, w in enumerate(dict.fromkeys(w for _, ws in parts for w in ws))}
         self.items = [i for i, _ in parts]
         self.n = np.array([len(w) for _, w in parts], np.int64)
@@ -78,16 +91,13 @@ class Queries:
         self.item = np.repeat(np.arange(len(self.items)), self.n)
         self.first = first
         self.triples = np.unique(self.hash(self.seq, self.at, 3))
-        # how many families have the words of each anchor
         left = self.first[self.item] + self.n[self.item] - self.at if len(self.at) else self.at
-        whole = left >= ANCHOR
         self.rare = np.zeros(len(self.at), bool)
-        if whole.any():
-            h, item = self.hash(self.seq, self.at[whole], ANCHOR).view(np.int64), self.item[whole]
-            held = np.unique(np.stack([h, item]), axis=1)
-            pair = np.unique(np.stack([held[0], self.families(*held)[held[1]]]), axis=1)
-            keys, many = np.unique(pair[0], return_counts=True)
-            self.rare[whole] = many[np.searchsorted(keys, h)] <= RARE
+        k = 0
+        for (_, w), held in zip(parts, shared):
+            own = runs(w)
+            self.rare[k : k + len(own)] = [r not in held for r in own] if held else True
+            k += len(w)
         # a third of the passage, where it has no rare run
         self.third = np.maximum(-(-self.n // 3), ANCHOR)
         before = np.append(0, np.cumsum(self.rare))
@@ -99,26 +109,6 @@ class Queries:
         few = np.flatnonzero(self.n < ANCHOR)
         self.short = {int(k): (self.hash(self.seq, first[few[self.n[few] == k]], int(k)), few[self.n[few] == k]) for k in np.unique(self.n[few])}
 
-    def families(self, key: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """The family of each item, from its distinct runs (sorted by run, then item): items next to each other in
-        half of the runs of either are one."""
-        up = list(range(len(self.items)))
-
-        def root(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        runs = np.bincount(item, minlength=len(up))
-        next_ = np.flatnonzero(key[1:] == key[:-1])
-        pairs, shared = np.unique(item[next_] * len(up) + item[next_ + 1], return_counts=True)
-        a, b = pairs // len(up), pairs % len(up)
-        for k in np.flatnonzero(2 * shared >= np.minimum(runs[a], runs[b])):
-            x, y = root(int(a[k])), root(int(b[k]))
-            up[max(x, y)] = min(x, y)
-        return np.array([root(x) for x in range(len(up))], np.int64)
-
     @staticmethod
     def hash(seq: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
         h = np.zeros(len(at), np.uint64)
@@ -204,6 +194,19 @@ def _begins(seq: np.ndarray, p: np.ndarray, q: np.ndarray, at: np.ndarray, least
     return out
 
 
+def _extent(seq: np.ndarray, p: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many words the suffixes seq[p..] and q[at..] share."""
+    out = np.zeros(len(p), np.int64)
+    open_ = np.arange(len(p))
+    d = 0
+    while len(open_):
+        x = seq[p[open_] + d]
+        open_ = open_[(x == q[at[open_] + d]) & (x > 0)]
+        d += 1
+        out[open_] = d
+    return out
+
+
 def _short(queries: Queries, seq: np.ndarray, starts: np.ndarray, ids: list[int]) -> list[tuple]:
     """The passages of fewer than ``ANCHOR`` words, which match as a whole."""
     out = []
@@ -268,11 +271,7 @@ def _shard(queries: Queries, ids: list[int], texts: list[str]) -> list[tuple]:
     anchor = queries.rare[k3] & four
     long = np.flatnonzero(queries.common[k3])
     anchor[long] |= _begins(seq, p3[long], queries.seq, queries.at[k3[long]], queries.third[queries.item[k3[long]]])
-    length = np.full(len(p3), 3)
-    open_ = np.ones(len(p3), bool)
-    for d in range(3, DEPTH):
-        open_ &= (seq[p3 + d] == queries.seq[queries.at[k3] + d]) & (seq[p3 + d] > 0)
-        length += open_
+    length = _extent(seq, p3, queries.seq, queries.at[k3])
     order = np.argsort(code, kind="stable")
     edges = np.flatnonzero(np.diff(code[order], prepend=-1))
     for g in np.split(order, edges[1:]):
@@ -280,11 +279,7 @@ def _shard(queries: Queries, ids: list[int], texts: list[str]) -> list[tuple]:
         share, pieces = _chains(p3[g], queries.at[k3[g]] - queries.first[i], anchor[g], int(queries.n[i]))
         if share >= SHARE:
             best = g[length[g].argmax()]
-            run, at = 0, int(p3[best])
-            q = int(queries.at[k3[best]])
-            while seq[at + run] > 0 and seq[at + run] == queries.seq[q + run]:
-                run += 1
-            out.append((ids[d3[g[0]]], queries.items[i], float(share), run, at - int(starts[d3[g[0]]]), pieces))
+            out.append((ids[d3[g[0]]], queries.items[i], float(share), int(length[best]), int(p3[best] - starts[d3[g[0]]]), pieces))
     return out
 
 
@@ -306,15 +301,41 @@ def _search(queries: Queries):
     return over
 
 
+def _passage_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for i, p in zip(pdf["item_id"], pdf["passage"]):
+            own = set(runs(words(p)))
+            yield pd.DataFrame({"item_id": np.full(len(own), i, np.int64), "run": np.fromiter(own, np.int64, len(own))})
+
+
+def shared_runs(items: DataFrame) -> DataFrame:
+    """(item_id, shared): of each item (item_id, passage) the runs that more than ``RARE`` families of passages hold.
+    Passages that share half of the runs of either are one family."""
+    held = materialize(items.mapInPandas(_passage_runs, "item_id bigint, run bigint").distinct(), "runs")
+    centre = held.groupBy("run").agg(F.min("item_id").alias("a"), F.max("item_id").alias("z")).where("a < z").select("run", "a")
+    size = held.groupBy("item_id").agg(F.count("*").alias("n"))
+    near = held.join(centre, "run").where("item_id <> a").groupBy("a", F.col("item_id").alias("b")).agg(F.count("*").alias("k"))
+    near = near.join(size.withColumnRenamed("item_id", "a"), "a").join(size.select(F.col("item_id").alias("b"), F.col("n").alias("m")), "b").where("2 * k >= least(n, m)")
+    family = clusters.hash_to_min(near.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")))
+    family = family.select(F.col("v").cast("bigint").alias("item_id"), F.col("root").alias("family"))
+    # an item without a family is one by itself
+    name = F.coalesce(F.concat(F.lit("f"), F.col("family")), F.concat(F.lit("i"), F.col("item_id")))
+    of = held.join(family, "item_id", "left").select("item_id", "run", name.alias("family"))
+    many = of.groupBy("run").agg(F.count_distinct("family").alias("n")).where(f"n > {RARE}").select("run")
+    # as many as the passage has words at most
+    return materialize(held.join(many, "run").groupBy("item_id").agg(F.collect_list("run").alias("shared")), "shared")
+
+
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, coverage, longest, longest_at, pieces): the documents that repeat a passage, the words of
     the longest verbatim match and the number of the word at which it starts."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and text <> '' and doc_id is not null")
+    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "passage").where("passage is not null and item_id is not null")
     found, block, size = None, [], 0
-    rows = items.select(F.col("item_id").cast("bigint"), "passage").where("passage is not null and item_id is not null").orderBy("item_id").toLocalIterator()
-    for r in [*rows, None]:  # the query set, block by block
+    rows = items.join(shared_runs(items), "item_id", "left").orderBy("item_id").toLocalIterator()
+    for r in chain(rows, [None]):  # the query set, block by block
         if r is not None:
-            block.append((r[0], r[1]))
+            block.append((r[0], r[1], set(r[2] or ())))
             size += len(r[1])
         if r is None or size >= BLOCK:
             x = docs.mapInPandas(_search(Queries(block)), FOUND)

@@ -28,8 +28,6 @@ from litsieve.session import materialize
 #: Documents per bucket of the prefix sums, about.
 BUCKET = 4096
 SEED = 20240501
-#: Uses per source that may be left out because they'd overshoot its demand.
-FILLS = 4
 #: How much heavier a source weighs at the end than at the start: large sources recede, small ones come late.
 TILT = 0.6
 
@@ -92,11 +90,16 @@ def draw(docs: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> tuple[D
     x = uses.withColumn("c", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(before, ["source", "pass", "bucket"]).join(F.broadcast(p), "source")
     begin = (F.col("pass") - 1) * F.col("tokens") + F.col("before") + F.col("c")
     x = materialize(x.select("doc_id", "source", "n_tokens", "pass", "demand", "slope", begin.alias("begin")), "offsets")
-    for _ in range(FILLS):  # a use that would overshoot is left out and what follows it moves up
-        over = x.where(F.col("begin") + F.col("n_tokens") / 2 > F.col("demand")).groupBy("source").agg(F.min(F.struct("begin", "n_tokens")).alias("o"))
-        x = x.join(F.broadcast(over), "source", "left").where("o is null or begin <> o.begin")
-        x = x.withColumn("begin", F.when(F.col("begin") > F.col("o.begin"), F.col("begin") - F.col("o.n_tokens")).otherwise(F.col("begin"))).drop("o")
-    x = x.where(F.col("begin") + F.col("n_tokens") / 2 <= F.col("demand"))
+    fits = F.col("begin") + F.col("n_tokens") / 2 <= F.col("demand")
+    # before the first use that would overshoot, something may be left: the later use that fits it best closes it
+    over = x.where(~fits).groupBy("source").agg(F.min("begin").alias("gap_at"))
+    late = x.join(F.broadcast(over), "source").where(F.col("begin") >= F.col("gap_at"))  # a row per source
+    miss = F.abs(F.col("demand") - F.col("gap_at") - F.col("n_tokens"))
+    late = late.where(miss < F.col("demand") - F.col("gap_at"))
+    best = late.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), "begin")).alias("x")).select("source", F.col("x.begin").alias("fill"))
+    x = x.join(F.broadcast(over), "source", "left").join(F.broadcast(best), "source", "left")
+    x = x.where(F.col("gap_at").isNull() | (F.col("begin") < F.col("gap_at")) | (F.col("begin") == F.col("fill")))
+    x = x.withColumn("begin", F.least("begin", F.coalesce("gap_at", "begin")))
     return p, x.select("doc_id", "source", "n_tokens", F.col("pass").cast("int").alias("use_no"), inverse(F.col("begin") / F.col("demand"), F.col("slope")).alias("at"))
 
 

@@ -202,6 +202,8 @@ def _parse_people(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         got = [person(n) for n in pdf["name"]]
         keep = [i for i, g in enumerate(got) if g]
+        if not keep:
+            continue
         out = pdf.iloc[keep].drop(columns="name").reset_index(drop=True)
         got = [got[i] for i in keep]
         plain = [_order(n) for n in pdf["name"].iloc[keep]]
@@ -285,15 +287,13 @@ def _moves(multi: DataFrame) -> DataFrame:
     members = whole.select("a", F.col("pid").alias("b"), "ob").unionByName(split.select("a", F.col("pid").alias("b"), "ob"))
     per = members.groupBy("b").agg(F.min("a").alias("a"), F.min("ob").alias("ob"), F.max("ob").alias("ob2"))
     m = materialize(per.where("ob <=> ob2 and a < b").select("b", "a", "ob"), "moves")
-    t = m.select("b", F.col("a").alias("t"), "a", "ob")
-    for _ in range(2):  # jumps along chains
-        t = t.join(t.select(F.col("b").alias("t"), F.col("t").alias("further")), "t", "left").select("b", F.coalesce("further", "t").alias("t"), "a", "ob")
-    t = materialize(t, "targets")
+    # one jump along chains
+    t = m.join(m.select(F.col("b").alias("a"), F.col("a").alias("further")), "a", "left").select("b", F.coalesce("further", "a").alias("t"), "a", "ob")
     clash = t.groupBy("t").agg(F.min("ob").alias("first"), F.max("ob").alias("last")).where("first < last").select("t", "first")
     # a chain that would join two ORCIDs is cut down to the direct neighbours that share the smaller one
     out = materialize(t.join(clash, "t", "left").where("first is null or (ob = first and a = t)").select("b", "t"), "moves")
-    for x in (blocks, m, t):
-        release(x)
+    release(blocks)
+    release(m)
     return out
 
 
@@ -356,11 +356,12 @@ def mentions(authors: DataFrame, orgs: DataFrame) -> DataFrame:
     digits = F.regexp_extract(F.upper("orcid"), r"(\d{4}-\d{4}-\d{4}-\d{3}[\dX])", 1)
     a = authors.select(
         F.col("mention_id").cast("bigint").alias("id"), F.col("ordinal").cast("bigint").alias("ordinal"), F.col("author_position").cast("int").alias("position"), "name", "affiliation",
-        F.when(F.length(F.trim("author_id")) > 0, F.xxhash64("database", F.trim("author_id"))).alias("author"), F.when(digits != "", F.xxhash64(digits)).alias("o"),
+        F.when(F.length(F.trim("author_id")) > 0, F.concat_ws(" ", "database", F.trim("author_id"))).alias("author"), F.nullif(digits, F.lit("")).alias("o"),
     ).where("name is not null and mention_id is not null")
     kept = [c for c in a.columns if c != "name"]
     kinds = ", ".join(f"{c} {a.schema[c].dataType.simpleString()}" for c in kept)
     one = "{0} string, {1} string, {2} bigint"
+    # numbers that may be null would pass through Python as floats, so identifiers are hashed afterwards
     a = a.mapInPandas(_parse_people, f"{kinds}, {one.format('surname', 'given', 'mask')}, middle string, plain string, {one.format('surname2', 'given2', 'mask2')}")
     a = materialize(a, "parsed")
     known = a.where("plain = ','").groupBy(F.col("given2").alias("word")).agg(F.approx_count_distinct("surname").alias("n")).where(f"n >= {KNOWN_BY}").select("word", F.lit(True).alias("is"))
@@ -375,7 +376,7 @@ def mentions(authors: DataFrame, orgs: DataFrame) -> DataFrame:
     a = a.select("id", "ordinal", "position", "affiliation", "author", "o", pick("surname"), pick("given"), pick("mask"), "middle")
     a = join_checked(a, by_text, ["affiliation"], "left").drop("affiliation")
     return materialize(a.select(
-        "id", "ordinal", "position", "author", "o", "org", "mask", "surname", "given", F.xxhash64("surname").alias("s"), F.xxhash64(F.substr("surname", F.lit(1), F.lit(3))).alias("head"),
+        "id", "ordinal", "position", F.when(F.col("author").isNotNull(), F.xxhash64("author")).alias("author"), F.when(F.col("o").isNotNull(), F.xxhash64("o")).alias("o"), "org", "mask", "surname", "given", F.xxhash64("surname").alias("s"), F.xxhash64(F.substr("surname", F.lit(1), F.lit(3))).alias("head"),
         F.xxhash64(F.lit("tail"), F.substr(F.reverse("surname"), F.lit(1), F.lit(4))).alias("tail"), F.xxhash64(F.substr("surname", F.lit(1), F.lit(2))).alias("start"),
         F.when(F.length("given") > 1, F.xxhash64("given")).alias("g"), F.when(F.length("middle") > 0, F.ascii("middle")).alias("m"),
     ), "mentions")
@@ -463,17 +464,14 @@ class _State:
         self.beside: DataFrame | None = None
 
     def follow(self, moves: DataFrame) -> DataFrame:
-        """Move profiles; those that changed."""
+        """Move profiles; (first, pid) of all members of those that changed."""
         old, self.at = self.at, materialize(self.at.join(moves.select(F.col("b").alias("pid"), "t"), "pid", "left").select("first", F.coalesce("t", "pid").alias("pid")), "at")
         release(old)
-        return materialize(moves.select(F.col("t").alias("pid")).distinct(), "touched")
+        return materialize(self.at.join(moves.select(F.col("t").alias("pid")), "pid", "left_semi"), "moved")
 
     def forms(self, some: DataFrame | None = None) -> DataFrame:
         """The spellings of all profiles, or of some (first, pid)."""
-        return self.facts.join(self.at, "first") if some is None else join_checked(self.facts, some, ["first"])
-
-    def members(self, pids: DataFrame) -> DataFrame:
-        return materialize(join_checked(self.at, pids, ["pid"], "left_semi"), "members")
+        return self.facts.join(self.at if some is None else some, "first")
 
     def mentions(self) -> DataFrame:
         return self.pids.withColumnRenamed("pid", "first").join(self.at, "first").select("id", "pid")
@@ -522,32 +520,27 @@ def _weak_round(state: _State) -> DataFrame:
     return _moves(multi)
 
 
-def _later_round(state: _State, touched: DataFrame) -> DataFrame:
-    """The moves in the blocks of the profiles that changed, with the keys of their new combinations."""
-    moved = state.members(touched)
+def _later_round(state: _State, moved: DataFrame) -> DataFrame:
+    """The moves in the blocks of the profiles that changed, with the keys of their new combinations. The tables that say
+    what is looked at are written, so Spark knows their size and broadcasts what is under its own threshold."""
     forms = materialize(state.forms(moved), "forms")
     code = F.xxhash64("pid", "s", F.coalesce("g", F.lit(0)), F.coalesce("mask", F.lit(0)), "org").alias("code")
     old = _names_at(forms, "first").join(moved, "first").select(code)
     x = _names_at(forms, "pid").withColumn("code", code).join(old, "code", "left_anti").drop("code")
     new = materialize(_combined(x, *state.slips).select("key", "f", "pid"), "keys")
     multi = _united(state.multi)
-    shared = materialize(join_checked(multi.select("key", "first"), moved.select("first"), ["first"], "left_semi", counted=moved).select("key").distinct(), "shared")
-    rows = join_checked(multi, shared, ["key"], "left_semi")
-    met = None
-    if not new.isEmpty():
-        met = materialize(new.select("key").distinct(), "met")
-        rows = rows.unionByName(join_checked(_united(state.keys), met, ["key"], "left_semi"))
+    shared = materialize(multi.select("key", "first").join(moved.select("first"), "first", "left_semi").select("key").distinct(), "shared")
+    rows = multi.join(shared, "key", "left_semi").unionByName(_united(state.keys).join(new.select("key"), "key", "left_semi"))
     if state.beside is not None:
         to = moved.select(F.col("first").alias("other"), F.col("pid").alias("to"))
-        beside = join_checked(state.beside, to, ["other"], counted=moved)
-        rows = rows.unionByName(beside.select(F.xxhash64("sg", "to").alias("key"), F.lit(JUDGED).alias("f"), "first"))
-    rows = materialize(rows, "rows")
+        rows = rows.unionByName(state.beside.join(to, "other").select(F.xxhash64("sg", "to").alias("key"), F.lit(JUDGED).alias("f"), "first"))
     k = materialize(rows.join(state.at, "first").select("key", "f", "pid").unionByName(new).distinct(), "rows")
-    facts = _attributes(state.forms(state.members(materialize(k.select("pid").distinct(), "pids"))))
-    out = _multi(k.join(facts, "pid"))
+    looked_at = materialize(state.at.join(k.select("pid").distinct(), "pid", "left_semi"), "members")
+    judged = materialize(k.join(_attributes(state.forms(looked_at)), "pid"), "keys")
+    out = _multi(judged)
     state.multi.append(out.select("key", "f", F.col("pid").alias("first")))
     state.keys.append(new.withColumnRenamed("pid", "first"))
-    for y in (moved, forms, shared, met, rows, k):
+    for y in (moved, forms, shared, k, looked_at, judged):
         release(y)
     return _moves(out)
 

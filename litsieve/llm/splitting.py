@@ -140,8 +140,10 @@ def split(text: str, enc, lengths: np.ndarray, limit: int = LIMIT, overlap: int
                 n = len(enc.encode_ordinary(raw[off[s] : off[e]].decode("utf-8", "replace")))
                 ok = ok and n <= limit
             out.append((int(off[s]), int(off[e]), n))
-        if ok or cap <= overlap:
+        if ok:
             return out
+        if cap <= overlap:
+            raise ValueError("a piece cut within a word counts more tokens by itself than the limit, however short it is")
         cap -= 64
 
 

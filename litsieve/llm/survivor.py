@@ -1,22 +1,29 @@
 """One surviving record per group of duplicates, field by field, by currency reasoning.
 
-Every field has sound and unsound values. From the dated rows of all groups the operator learns which way values
-move: each row's value against the group's last dated one is a transition. The learned direction gives a
-precedence between values, which orders a group's undated rows among its dated ones; the survivor is the value
-that is topologically last.
-
-* citation_count: counts move upwards (learned); the count retrieved last survives, an undated count only if
-  it is preceded by that one; 0 beside positive counts is unknown.
-* abstract: null, placeholder and cut texts are unsound; a text that goes on precedes one that stops short.
-* open_access_pdf: only links with a host and a path, and no login pages, are sound.
-* venue: placeholders, clipped names ("..."), preprint servers and abbreviations are unsound. That a name
-  abbreviates another is learned from the groups that hold both. The most frequent full name survives.
-
-All choices are combining aggregates on (group, value), never a window or a list over a group.
-
-Defined results: null fields are unsound; ties go to the later row, then to the greater ordinal; a group whose
-rows all hold the value, or of which none is sound, has no rows for that field; equal rows with different
-ordinals each count; empty tables give empty results.
+What makes a value sound is given by the task; which of a group's sound values is current is found from dates:
+
+1. Value transitions. Every sound value of a dated row is a transition to the group's last dated sound value. Over all
+   groups it is counted how often the value's measure (the count itself, the length of abstract, link and venue's
+   name) grew and how often it fell. If one way prevails by more than chance (two standard deviations), values of
+   that field have a learned precedence: growing or falling; else they have none.
+2. Partial order. A group's dated values stand in the order of their last dates, whatever was learned. An undated value
+   stands before or after the last dated one, and before or after other undated ones, as the learned precedence
+   says; without one, undated values stand before all dated ones and are not ordered among themselves.
+3. The topologically last value survives: the last dated one, unless an undated one stands behind it. Since every value
+   is comparable with the last dated one, combining aggregates find it, without a window or list over a group.
+   Of values that nothing orders, the one that most rows hold survives, then the one with the greatest ordinal.
+
+Sound values:
+* citation_count: any; 0 beside positive counts is unknown.
+* abstract: not null, a placeholder or cut (problem 1's model). Damage comes with any date, so that a whole text that
+  continues another one precedes nothing: of whole texts the learned precedence decides.
+* open_access_pdf: links with a host and a path, no login pages.
+* venue: no placeholders, clipped names ("...") or preprint servers, and no abbreviations. That a name abbreviates
+  another is learned from the groups that hold both.
+
+Defined results: null fields are unsound; a date that cannot be read is no date; a group whose rows all hold the
+value, or of which none is sound, has no rows for that field; equal rows with different ordinals each count; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litsieve.llm import clusters, truncation
-from litsieve.session import join_checked, materialize
+from litsieve.session import join_checked, materialize, release
 
 FIELDS = ("abstract", "citation_count", "open_access_pdf", "venue")
 #: Names that say where a preprint lies, not where the work appeared (fixed values).
@@ -94,66 +101,72 @@ def grouped(papers: DataFrame, match_pairs: DataFrame) -> DataFrame:
     ).where("paper_id is not null and ordinal is not null")
     rows = rows.join(roots, "paper_id", "left").withColumn("g", F.coalesce(F.concat(F.lit("group "), F.col("root").cast("string")), "paper_id")).drop("root")
     many = rows.groupBy("g").agg(F.count("*").alias("rows")).where("rows > 1")
-    return materialize(rows.join(many.select("g"), "g"), "works")
-
-
-def _upwards(rows: DataFrame) -> bool:
-    """Learned from the dated rows: do positive counts rise towards the last one more often than they fall?"""
-    dated = rows.where("t is not null and citation_count > 0").select("g", "t", "ordinal", "citation_count")
-    last = dated.groupBy("g").agg(F.max(F.struct("t", "ordinal", "citation_count")).alias("x")).select("g", F.col("x.citation_count").alias("last"))
-    r = dated.join(last, "g").agg(F.count_if(F.col("last") > F.col("citation_count")).alias("up"), F.count_if(F.col("last") < F.col("citation_count")).alias("down")).first()
-    return (r.up or 0) >= (r.down or 0)
-
-
-def _count(rows: DataFrame) -> DataFrame:
-    up = 1 if _upwards(rows) else -1
-    positive = F.col("citation_count") > 0
-    x = rows.groupBy("g").agg(
-        F.max(F.when(positive & F.col("t").isNotNull(), F.struct("t", "ordinal", "citation_count"))).alias("dated"),
-        F.max(F.when(positive & F.col("t").isNull(), F.col("citation_count") * up)).alias("undated"),
-        F.max(F.when(F.col("citation_count") == 0, F.lit(0))).cast("bigint").alias("zero"),
+    out = materialize(rows.join(many.select("g"), "g"), "works")
+    release(roots)
+    return out
+
+
+def directions(values: DataFrame) -> dict[str, int]:
+    """Learned from the dated rows of sound values (g, field, value, measure, t, ordinal): per field whether the measure
+    grows (1) or falls (-1) towards the last value, or neither (0)."""
+    dated = values.where("t is not null")
+    last = dated.groupBy("g", "field").agg(F.max(F.struct("t", "ordinal", "measure")).alias("x")).select("g", "field", F.col("x.measure").alias("last"))
+    rows = dated.join(last, ["g", "field"]).groupBy("field").agg(F.count_if(F.col("last") > F.col("measure")).alias("up"), F.count_if(F.col("last") < F.col("measure")).alias("down")).collect()
+    out = dict.fromkeys(FIELDS, 0)
+    for r in rows:
+        if abs(r.up - r.down) > 2 * (r.up + r.down) ** 0.5:
+            out[r.field] = 1 if r.up > r.down else -1
+    return out
+
+
+def current(values: DataFrame) -> DataFrame:
+    """(g, field, value): of sound values (g, field, value, measure, t, ordinal) the topologically last of each group."""
+    way = F.lit(0)
+    for field, d in directions(values).items():
+        way = F.when(F.col("field") == field, F.lit(d)).otherwise(way)
+    per = values.groupBy("g", "field", "value").agg(F.max("measure").alias("measure"), F.count("*").alias("n"), F.max("t").alias("t"), F.max("ordinal").alias("o")).withColumn("rank", way * F.col("measure"))
+    x = per.groupBy("g", "field").agg(
+        F.max(F.when(F.col("t").isNotNull(), F.struct("t", "o", "rank", "value"))).alias("dated"),
+        F.max(F.when(F.col("t").isNull(), F.struct("rank", "n", "o", "value"))).alias("undated"),
     )
-    d, u = F.col("dated.citation_count"), F.col("undated") * up
-    later = u.isNotNull() & (d.isNull() | (u * up > d * up))
-    return x.select("g", F.coalesce(F.when(later, u).otherwise(d), "zero").cast("string").alias("value"))
-
-
-def _best(rows: DataFrame, field: str, sound: Column, rank: Column) -> DataFrame:
-    """Per work the sound value with the greatest (rank, rows, last date, last ordinal)."""
-    v = rows.where(sound).groupBy("g", F.col(field).alias("value")).agg(F.count("*").alias("n"), F.max("t").alias("t"), F.max("ordinal").alias("o"), F.max(rank).alias("rank"))
-    return v.groupBy("g").agg(F.max(F.struct("rank", "n", F.coalesce("t", F.lit("1900-01-01").cast("timestamp")).alias("t"), "o", "value")).alias("x")).select("g", F.col("x.value").alias("value"))
-
+    behind = (way != 0) & (F.col("undated.rank") > F.col("dated.rank"))
+    return x.select("g", "field", F.when(F.col("dated").isNull() | behind, F.col("undated.value")).otherwise(F.col("dated.value")).alias("value"))
 
-def _abstract(rows: DataFrame, cut: DataFrame) -> DataFrame:
-    whole = rows.join(cut.select("ordinal", F.lit(True).alias("cut")), "ordinal", "left").withColumn("sound", F.col("cut").isNull())
-    return _best(whole, "abstract", F.col("sound") & F.col("abstract").isNotNull(), F.col("abstract_length"))
 
-
-def _venue(rows: DataFrame) -> DataFrame:
-    v = F.col("venue")
-    named = v.isNotNull() & ~v.rlike(BLANK) & ~v.rlike(r"(\.{3}|…)\s*$") & ~v.rlike(PREPRINT)
-    values = rows.where(named).select("g", "venue").distinct()
+def _short_names(named: DataFrame) -> DataFrame:
+    """The venues (column of ``named``) that abbreviate another name of the same work more often than not."""
+    values = named.select("g", "venue").distinct()
     longest = values.groupBy("g").agg(F.max(F.struct(F.length("venue").alias("n"), "venue")).alias("x")).select("g", F.col("x.venue").alias("longest"))
     pairs = values.join(longest, "g").where("venue <> longest").groupBy("venue", "longest").count()
     short = pairs.withColumn("short", _abbreviates("venue", "longest")).groupBy("venue").agg(F.sum(F.when(F.col("short"), F.col("count")).otherwise(-F.col("count"))).alias("x")).where("x > 0")
-    marked = join_checked(rows.where(named), short.select("venue"), ["venue"], "left_anti")
-    return _best(marked, "venue", F.lit(True), F.lit(0))
+    return short.select("venue", F.lit(True).alias("is_short"))
+
+
+def sound_values(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """(g, field, value, measure, t, ordinal) of every sound value."""
+    v, c, link = F.col("venue"), F.col("citation_count"), F.col("open_access_pdf")
+    named = v.isNotNull() & ~v.rlike(BLANK) & ~v.rlike(r"(\.{3}|…)\s*$") & ~v.rlike(PREPRINT)
+    x = rows.join(cut.select("ordinal", F.lit(True).alias("cut")), "ordinal", "left").withColumn("named", named)
+    x = join_checked(x, _short_names(rows.where(named)), ["venue"], "left")
+    positive = rows.where("citation_count > 0").select("g").distinct().withColumn("positive", F.lit(True))
+    x = x.join(positive, "g", "left")
+    of = lambda field, sound, value, measure: F.when(sound, F.struct(F.lit(field).alias("field"), value.alias("value"), measure.cast("bigint").alias("measure")))
+    values = F.array(
+        of("abstract", F.col("cut").isNull() & F.col("abstract").isNotNull(), F.col("abstract"), F.col("abstract_length")),
+        of("citation_count", c.isNotNull() & ((c > 0) | F.col("positive").isNull()), c.cast("string"), c),
+        of("open_access_pdf", link.isNotNull() & link.rlike(LINK) & ~link.rlike(NO_LINK), link, F.length(link)),
+        of("venue", F.col("named") & F.col("is_short").isNull(), v, F.length(v)),
+    )
+    return x.select("g", "t", "ordinal", F.explode(values).alias("x")).where("x is not null").select("g", "x.field", "x.value", "x.measure", "t", "ordinal")
 
 
 def survivors(papers: DataFrame, match_pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the rows of the works, (g, field, value) of each surviving value)."""
     rows = grouped(papers, match_pairs)
-    cut = truncation.cut_abstracts(papers)
-    link = F.col("open_access_pdf").isNotNull() & F.col("open_access_pdf").rlike(LINK) & ~F.col("open_access_pdf").rlike(NO_LINK)
-    parts = {
-        "abstract": _abstract(rows, cut), "citation_count": _count(rows),
-        "open_access_pdf": _best(rows, "open_access_pdf", link, F.lit(0)), "venue": _venue(rows),
-    }
-    out = None
-    for f in FIELDS:
-        x = parts[f].where("value is not null").select("g", F.lit(f).alias("field"), "value")
-        out = x if out is None else out.unionByName(x)
-    return rows, materialize(out, "survivors")
+    values = materialize(sound_values(rows, truncation.cut_abstracts(papers)), "values")
+    out = materialize(current(values), "survivors")
+    release(values)
+    return rows, out
 
 
 def surviving_rows(papers: DataFrame, match_pairs: DataFrame) -> DataFrame:

@@ -10,11 +10,14 @@ from the longest context that was seen often enough; a text is cut if the score
 its language, which expectation-maximisation sets from the column's own scores.
 
 Only contexts that end some text are ever looked up, so only those are counted: their hashes are gathered in a
-bit set of fixed size first (a full bit set filters nothing but changes no count). All texts are counted.
+bit set of fixed size first (a full bit set filters nothing but changes no count). All texts are counted, a text that
+several records share once with its number of copies.
+
+A trailing ellipsis or "(more)" is taken off before the text is scored. Such texts have a threshold of their own: the two
+distributions of their language are weighted by the share of cut ones among them, which is estimated like the others.
 
 Defined results: null, blank and placeholder texts ("n/a", "No abstract available.") are not cut; markup and
-white space at the end is ignored; a trailing ellipsis or "(more)" marks a cut; repeated rows are scored alike;
-an empty table has no rows.
+white space at the end is ignored, however long; repeated rows are scored alike; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litsieve.session import join_checked, materialize
+from litsieve.session import join_checked, materialize, release
 
 #: Each order's hash is made of two shorter ones: (order, the longer part, the part before it).
 PARTS = ((3, 0, 0), (4, 3, 1), (6, 3, 3), (8, 4, 4), (11, 8, 3), (14, 11, 3), (18, 14, 4), (22, 18, 4), (30, 22, 8))
@@ -74,13 +77,24 @@ def _language(end: str) -> int:
     return best
 
 
+def _end(text: str) -> str:
+    """The cleaned text, or of a long one at least its last ``TAIL`` cleaned characters."""
+    size = 4 * TAIL
+    while size < len(text):
+        # a tag or entity cut at the window's start leaves less than 250 characters of it
+        t = _clean(text[-size:])[250:]
+        if len(t) >= TAIL + 60:
+            return t
+        size *= 4
+    return _clean(text)
+
+
 def _read(text: str | None, tail: bool = False) -> tuple[str, bool, int] | None:
     """(cleaned text with all digits 0, whether an ellipsis ended it, language), or None for no text. With
     ``tail``, only what its end depends on."""
     if not isinstance(text, str) or len(text) < 2:
         return None
-    whole = len(text) <= 4 * TAIL
-    t = _clean(text if whole or not tail else text[-4 * TAIL :])
+    t = _end(text) if tail else _clean(text)
     if len(t) < 2 or len(t) < 60 and PLACEHOLDER.match(t):
         return None
     cut = MARK.search(t[-40:]) if t[-1] in ".…)]" else None
@@ -165,37 +179,41 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(BASE, n, 1 << 64))
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[_Block]:
-    got, size = [], 0
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[_Block, np.ndarray]]:
+    """Blocks of texts with the number of copies of each."""
+    got, copies, size = [], [], 0
     for pdf in batches:
-        for t in pdf["text"]:
+        for t, n in zip(pdf["text"], pdf["copies"]):
             r = _read(t)
             if r:
                 got.append(r)
+                copies.append(n)
                 size += len(r[0])
                 if size >= CHUNK:
-                    yield _Block(got)
-                    got, size = [], 0
+                    yield _Block(got), np.array(copies)
+                    got, copies, size = [], [], 0
     if got:
-        yield _Block(got)
+        yield _Block(got), np.array(copies)
 
 
 def _counter(bits: np.ndarray):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = np.unpackbits(bits.view(np.uint8), bitorder="little").view(bool)
-        for b in _chunks(batches):
+        for b, copies in _chunks(batches):
             at, end = b.boundaries()
-            lang = np.zeros(len(b.a), np.uint8)
-            for s, e, g in zip(b.starts.tolist(), b.ends.tolist(), b.lang.tolist()):
+            lang, times = np.zeros(len(b.a), np.uint8), np.zeros(len(b.a), np.int32)
+            for s, e, g, c in zip(b.starts.tolist(), b.ends.tolist(), b.lang.tolist(), copies.tolist()):
                 lang[s : e + 1] = g
-            n = np.bincount(lang[at], minlength=len(LANGUAGES))
-            e = np.bincount(lang[at], weights=end[at], minlength=len(LANGUAGES)).astype(np.int64)
+                times[s : e + 1] = c
+            n = np.bincount(lang[at], weights=times[at], minlength=len(LANGUAGES)).astype(np.int64)
+            e = np.bincount(lang[at], weights=end[at] * times[at], minlength=len(LANGUAGES)).astype(np.int64)
             out = [pd.DataFrame({"lang": np.arange(len(LANGUAGES)), "ord": -1, "hash": 0, "n": n, "ends": e})]  # totals
             for k, pos, x in b.contexts(at, wanted):
                 key = (x & ~np.uint64(7)) | lang[pos]  # the language in the low bits
                 codes, keys = pd.factorize(key)
-                n = np.bincount(codes, minlength=len(keys))
-                e = np.bincount(codes[end[pos]], minlength=len(keys))
+                n = np.bincount(codes, weights=times[pos], minlength=len(keys)).astype(np.int64)
+                ends = end[pos]
+                e = np.bincount(codes[ends], weights=times[pos[ends]], minlength=len(keys)).astype(np.int64)
                 out.append(pd.DataFrame({"lang": (keys & np.uint64(7)).astype(np.int32), "ord": k, "hash": (keys & ~np.uint64(7)).view(np.int64), "n": n, "ends": e}))
             yield pd.concat(out, ignore_index=True)
 
@@ -209,7 +227,7 @@ def _finals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not row:
             continue
         b = _Block([got[i] for i in row])
-        out = pd.DataFrame({"id": pdf["id"].to_numpy()[row], "source": pdf["source"].to_numpy()[row], "length": pdf["length"].to_numpy()[row], "digest": pdf["digest"].to_numpy()[row], "lang": b.lang.astype(np.int32), "marked": b.marked})
+        out = pd.DataFrame({"digest": pdf["digest"].to_numpy()[row], "lang": b.lang.astype(np.int32), "marked": b.marked})
         for k, _, x in b.contexts(b.ends):
             out[f"b{k}"] = (x & np.uint64(BITS - 1)).astype(np.int32)
             out[f"h{k}"] = (x & ~np.uint64(7)).view(np.int64)
@@ -218,25 +236,25 @@ def _finals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def truncation_scores(texts: DataFrame) -> DataFrame:
     """(id, source, lang, length, digest, marked, score) of every text (columns id, source, text) that isn't null, blank or a
-    placeholder. ``score`` is null for a text with an ellipsis at its end."""
+    placeholder. ``marked``: an ellipsis ended it; ``score`` is that of the text before it."""
     spark = texts.sparkSession
     texts = texts.where(F.length("text") > 1)
+    rows = texts.select("id", "source", F.length("text").alias("length"), F.xxhash64("text").alias("digest"))
+    texts = materialize(texts.groupBy("text").agg(F.count("*").alias("copies")).select("text", F.col("copies").cast("int").alias("copies"), F.xxhash64("text").alias("digest")), "texts")
     ks = range(len(ORDERS))
     names = [f"h{k}" for k in ks]
-    ctx = texts.select("id", "source", "text", F.length("text").alias("length"), F.xxhash64("text").alias("digest")).mapInPandas(
-        _finals, f"id {texts.schema['id'].dataType.simpleString()}, source string, length int, digest bigint, lang int, marked boolean, " + ", ".join(f"b{k} int, h{k} bigint" for k in ks)
-    )
+    ctx = texts.select("text", "digest").mapInPandas(_finals, "digest bigint, lang int, marked boolean, " + ", ".join(f"b{k} int, h{k} bigint" for k in ks))
     ctx = materialize(ctx, "finals")
     # 512 kB at most, whatever the number of texts
     b = ctx.select(F.explode(F.array(*[f"b{k}" for k in ks])).alias("b"))
-    rows = b.groupBy(F.shiftright("b", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, b & 63))").alias("bits")).toPandas()
+    held = b.groupBy(F.shiftright("b", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, b & 63))").alias("bits")).toPandas()
     bits = np.zeros(BITS // 64, np.int64)
-    bits[rows["word"].to_numpy(int)] = rows["bits"].to_numpy(np.int64)
-    counts = texts.select("text").mapInPandas(_counter(bits), "lang int, ord int, hash bigint, n bigint, ends bigint")
+    bits[held["word"].to_numpy(int)] = held["bits"].to_numpy(np.int64)
+    counts = texts.select("text", "copies").mapInPandas(_counter(bits), "lang int, ord int, hash bigint, n bigint, ends bigint")
     counts = materialize(counts.groupBy("lang", "ord", "hash").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")), "contexts")
     totals = {r.lang: (r.n, r.ends) for r in counts.where("ord = -1 and n > 0").collect()}  # a row per language
     # texts that end alike are scored once: contexts that many share stay small
-    finals = ctx.where("not marked").select("lang", *names).distinct()
+    finals = ctx.select("lang", *names).distinct()
     long = finals.select("lang", F.col(names[-1]).alias("last"), F.posexplode(F.array(*names)).alias("ord", "hash"))
     # a context too rare in its language is judged by all languages, if they hold a longer one
     either = counts.groupBy("ord", "hash").agg(F.sum("n").alias("all_n"), F.sum("ends").alias("all_ends"), F.collect_list(F.struct("lang", "n", "ends")).alias("by"))
@@ -256,30 +274,65 @@ def truncation_scores(texts: DataFrame) -> DataFrame:
     # a final context may be shared by any number of texts: salted
     salt = 8
     score = score.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    ctx = ctx.withColumn("last", F.col(names[-1])).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
-    out = ctx.join(score, ["lang", "last", "salt"], "left")
-    return out.select("id", "source", "length", "digest", F.element_at(F.array(*map(F.lit, LANGUAGES)), F.col("lang") + 1).alias("lang"), "marked", F.when(~F.col("marked"), F.col("score")).alias("score"))
+    ctx_ = ctx.withColumn("last", F.col(names[-1])).withColumn("salt", F.pmod("digest", F.lit(salt)).cast("int"))
+    by_text = ctx_.join(score, ["lang", "last", "salt"], "left").select("digest", F.element_at(F.array(*map(F.lit, LANGUAGES)), F.col("lang") + 1).alias("lang"), "marked", "score")
+    # so may a text: adaptive execution splits it
+    out = materialize(rows.join(by_text, "digest").select("id", "source", "length", "digest", "lang", "marked", "score"), "scores")
+    for x in (texts, ctx, counts):
+        release(x)
+    return out
+
+
+#: Where the fit begins: means, deviations and shares of cut and whole texts; as many texts as it counts for.
+BEGIN, WEIGHT = ((-1.0, 3.5), (1.2, 1.0), (0.1, 0.9)), 30
+#: How sure a mark alone makes a cut before any marked text is seen, and as many texts as that counts for.
+MARKED, MARKED_WEIGHT = 0.95, 20
+
+
+def _density(x: np.ndarray, mu: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    return np.exp(-(((x[:, None] - mu) / sd) ** 2) / 2) / sd + 1e-12
+
+
+def _fit(x: np.ndarray, w: np.ndarray, begin, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A mixture of two normal distributions; ``begin`` counts as ``WEIGHT`` texts."""
+    mu0, sd0, pi0 = (np.array(b, float) for b in begin)
+    mu, sd, pi = mu0, sd0, pi0
+    for _ in range(rounds):
+        p = pi * _density(x, mu, sd)
+        r = p / p.sum(1, keepdims=True) * w[:, None]
+        k = WEIGHT * pi0
+        s = r.sum(0) + k
+        pi, mu = s / s.sum(), ((r * x[:, None]).sum(0) + k * mu0) / s
+        spread = (r * (x[:, None] - mu) ** 2).sum(0) + k * (sd0**2 + (mu0 - mu) ** 2)
+        sd = np.maximum(np.sqrt(spread / s), 0.8)  # whole texts have nearly one score
+    return mu, sd, pi
+
+
+def _crossing(mu: np.ndarray, sd: np.ndarray, pi: np.ndarray) -> float:
+    """The score from which a text is more likely whole than cut."""
+    grid = np.linspace(mu[0] - 3 * sd[0], mu[1] + 3 * sd[1], 2000)
+    p = pi * _density(grid, mu, sd)
+    cut = np.flatnonzero(p[:, 0] > p[:, 1])
+    return float(grid[cut[cut <= np.searchsorted(grid, mu[1])].max(initial=0)]) if pi[0] <= 0.5 else float(grid[cut.max(initial=0)])
 
 
-def thresholds(scores: DataFrame, rounds: int = 12) -> dict[str, float]:
-    """Per language the score below which a text is more likely cut than whole: a mixture of two normal
-    distributions is fitted to the histogram of scores (tenths: of bounded size)."""
-    hist = scores.where("score is not null").groupBy("lang", F.round("score", 1).alias("x")).count().toPandas()
+def thresholds(scores: DataFrame, rounds: int = 12) -> dict[tuple[str, bool], float]:
+    """Per language, and whether a mark ended the text, the score below which a text is more likely cut than whole: a
+    mixture of two normal distributions is fitted to the histogram of scores (tenths: of bounded size). All languages
+    together are the beginning for each."""
+    hist = scores.where("score is not null").groupBy("lang", "marked", F.round("score", 1).alias("x")).count().toPandas()
+    x, w, plain = hist["x"].to_numpy(float), hist["count"].to_numpy(float), ~hist["marked"].to_numpy(bool)
+    begin = _fit(x[plain], w[plain], BEGIN, rounds)
     out = {}
-    for lang, h in hist.groupby("lang"):
-        x, w = h["x"].to_numpy(float), h["count"].to_numpy(float)
-        mu, sd, pi = np.array([-1.0, 3.5]), np.array([1.2, 1.0]), np.array([0.1, 0.9])
+    for lang in LANGUAGES:
+        own = (hist["lang"] == lang).to_numpy(bool)
+        mu, sd, pi = _fit(x[own & plain], w[own & plain], begin, rounds)
+        out[lang, False] = _crossing(mu, sd, pi)
+        share, xm, wm = MARKED, x[own & ~plain], w[own & ~plain]
         for _ in range(rounds):
-            p = pi * np.exp(-(((x[:, None] - mu) / sd) ** 2) / 2) / sd + 1e-12
-            r = p / p.sum(1, keepdims=True) * w[:, None]
-            s = r.sum(0) + 1e-9
-            pi, mu = s / s.sum(), (r * x[:, None]).sum(0) / s
-            sd = np.maximum(np.sqrt((r * (x[:, None] - mu) ** 2).sum(0) / s), 0.8)  # whole texts have nearly one score
-        grid = np.linspace(mu[0], mu[1], 400)
-        p = pi * np.exp(-(((grid[:, None] - mu) / sd) ** 2) / 2) / sd
-        cross = np.flatnonzero(p[:, 1] >= p[:, 0])
-        t = float(grid[cross[0]]) if len(cross) else 1.0
-        out[str(lang)] = min(max(t, 0.3), 2.0) if w.sum() >= 30 else 1.0
+            p = np.array([share, 1 - share]) * _density(xm, mu, sd)
+            share = float(((p[:, 0] / p.sum(1)) @ wm + MARKED * MARKED_WEIGHT) / (wm.sum() + MARKED_WEIGHT))
+        out[lang, True] = _crossing(mu, sd, np.array([share, 1 - share]))
     return out
 
 
@@ -296,14 +349,14 @@ def field_limits(scores: DataFrame) -> DataFrame:
 def truncated(texts: DataFrame) -> DataFrame:
     """(id, source, lang, score, is_cut) of every text that was scored. A text as long as its source's field
     limit is judged cut at a higher score than others."""
-    scores = materialize(truncation_scores(texts), "scores")
-    limit = F.lit(1.0)
-    for lang, t in thresholds(scores).items():
-        limit = F.when(F.col("lang") == lang, F.lit(t)).otherwise(limit)
+    scores = truncation_scores(texts)
+    limit = F.lit(0.0)
+    for (lang, marked), t in thresholds(scores).items():
+        limit = F.when((F.col("lang") == lang) & (F.col("marked") == marked), F.lit(t)).otherwise(limit)
     # each source has a few limits; their number is checked before they are broadcast
     x = join_checked(scores, field_limits(scores), ["source", "length"], "left")
     limit = limit + F.coalesce("bonus", F.lit(0.0))
-    return x.select("id", "source", "lang", "score", (F.col("marked") | (F.coalesce("score", F.lit(0.0)) < limit)).alias("is_cut"))
+    return x.select("id", "source", "lang", "score", (F.coalesce("score", F.lit(0.0)) < limit).alias("is_cut"))
 
 
 def paper_abstracts(papers: DataFrame) -> DataFrame:

@@ -85,28 +85,37 @@ def leak_tables(spark):
     return docs, d, q
 
 
-def found(docs, items):
-    q = leakage.Queries(list(enumerate(items)))
-    return sorted(r[:2] for r in leakage._shard(q, list(range(len(docs))), docs))
+def found(spark, docs, items, column=None):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string").coalesce(1)
+    x = leakage.leaks(d, spark.createDataFrame(list(enumerate(items)), "item_id bigint, passage string")).collect()
+    return sorted((r.doc_id, r.item_id, *([r[column]] if column else [])) for r in x)
 
 
-def test_passages_that_many_items_share_leak():
+@pytest.mark.parametrize("block", [leakage.BLOCK, 300])
+def test_passages_that_many_items_share_leak(spark, monkeypatch, block):
+    monkeypatch.setattr(leakage, "BLOCK", block)
     rng = random.Random(4)
     text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     one, other, front = text(40), text(40), text(20)
     nearly = [one[:k] + [f"x{k}"] + one[k + 1 :] for k in (5, 15, 25, 35)]
     edited = [w if k % 6 else "edit" for k, w in enumerate(one)]
-    assert found([" ".join(text(30) + one + text(30)), " ".join(text(60))], [" ".join(one)] * 5 + [" ".join(other)]) == [(0, k) for k in range(5)]
-    assert found([" ".join(text(30) + edited + text(30))], [" ".join(x) for x in nearly]) == [(0, k) for k in range(4)]
+    assert found(spark, [" ".join(text(30) + one + text(30)), " ".join(text(60))], [" ".join(one)] * 5 + [" ".join(other)]) == [(0, k) for k in range(5)]
+    assert found(spark, [" ".join(text(30) + edited + text(30))], [" ".join(x) for x in nearly]) == [(0, k) for k in range(4)]
     # what many different passages start with anchors if it is a third of them, and not if it is less
     items = [" ".join(front + text(n)) for n in (30, 30, 30, 30, 60)]
-    assert found([" ".join(text(30) + front + text(30))], items) == [(0, k) for k in range(4)]
-    assert found([" ".join(text(30) + front[:6] + text(30))], items) == []
+    assert found(spark, [" ".join(text(30) + front + text(30))], items) == [(0, k) for k in range(4)]
+    assert found(spark, [" ".join(text(30) + front[:6] + text(30))], items) == []
 
 
-def test_short_passages_match_as_a_whole():
+def test_short_passages_match_as_a_whole(spark):
     docs = ["Alpha beta gamma, delta", "beta alpha", "gamma", ""]
-    assert found(docs, ["alpha beta", "Beta", "alpha beta gamma", "alpha gamma", "gamma delta epsilon"]) == [(0, 0), (0, 1), (0, 2), (1, 1)]
+    assert found(spark, docs, ["alpha beta", "Beta", "alpha beta gamma", "alpha gamma", "gamma delta epsilon"]) == [(0, 0), (0, 1), (0, 2), (1, 1)]
+
+
+def test_the_longest_match_is_reported(spark):
+    w = [f"w{i}" for i in range(80)]
+    doc = " ".join(w[:20] + ["gap"] * 3 + w[20:60] + ["gap"] + w[60:78])
+    assert found(spark, [doc, " ".join(w[:30])], [" ".join(w)] * 3, "longest") == [(0, 0, 40), (0, 1, 40), (0, 2, 40), (1, 0, 30), (1, 1, 30), (1, 2, 30)]
 
 
 def test_leaks_against_naive_coverage(spark):
