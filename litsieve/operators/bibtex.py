@@ -27,10 +27,32 @@ def key_base() -> Column:
     return F.concat_ws("_", F.coalesce(F.lower(F.try_element_at(w, F.lit(-1))), F.lit("unknown")), F.coalesce(F.nullif("year", F.lit(0)).cast("string"), F.lit("n.d.")), F.coalesce(F.lower(F.try_element_at(t, F.lit(1))), F.lit("untitled")))
 
 
+def suffix(n: Column) -> Column:
+    """a, b, ..., z, aa, ab, ... for 1, 2, ...; "" for 0. Up to eight letters: 200 thousand million."""
+    letters = []
+    for i in reversed(range(8)):
+        least, unit = (26 ** (i + 1) - 1) // 25, 26**i
+        letters.append(F.when(n >= least, F.chr(F.lit(97) + F.floor((n - least) / unit) % 26)).otherwise(""))
+    return F.concat(*letters)
+
+
+#: Records in one block of the order of ingestion.
+BLOCK = 10_000
+
+
 def keys(papers: DataFrame) -> DataFrame:
-    """Adds ``cite_key``: the base, then base + a, b, ... in order of ingestion."""
-    k = F.row_number().over(Window.partitionBy("base").orderBy("ordinal"))
-    return papers.withColumn("base", key_base()).withColumn("k", k).withColumn("cite_key", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.chr(F.lit(95) + F.col("k"))))).drop("base", "k")
+    """Adds ``cite_key``: the base, then base + a, b, ..., z, aa, ... in order of ingestion. Where that makes two records
+    of different bases alike, the later has its base and number instead. Records of one base are numbered in two
+    steps, by blocks of ``ordinal``, so that no task sees all of a hot base."""
+    p = papers.withColumn("base", key_base()).withColumn("block", F.floor(F.col("ordinal") / BLOCK))
+    n = p.groupBy("base", "block").agg(F.count("*").alias("n"))
+    before = n.select("base", "block", (F.sum("n").over(Window.partitionBy("base").orderBy("block")) - F.col("n")).alias("before"))
+    p = p.join(before, ["base", "block"]).withColumn("k", F.row_number().over(Window.partitionBy("base", "block").orderBy("ordinal")) - 1 + F.col("before"))
+    p = p.withColumn("cite_key", F.concat("base", suffix(F.col("k"))))
+    taken = p.groupBy("cite_key").agg(F.min("ordinal").alias("owner"), F.count("*").alias("n")).where("n > 1").select("cite_key", "owner")
+    p = p.join(taken, "cite_key", "left")
+    own = F.col("owner").isNull() | (F.col("owner") == F.col("ordinal"))
+    return p.withColumn("cite_key", F.when(own, F.col("cite_key")).otherwise(F.concat_ws("_", "base", F.col("k") + 1))).drop("base", "block", "before", "k", "owner")
 
 
 def entry_type() -> Column:

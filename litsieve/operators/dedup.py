@@ -1,21 +1,22 @@
-"""Deduplication in passes (DOI, arXiv id, title within a year), canonical records, batch deduplication.
+"""Deduplication in passes (DOI, arXiv id, similar titles of a year), canonical records, batch deduplication.
 
-Order is the column ``ordinal``. Groups are judged by aggregates and windows on the group key; duplicates of one
-``paper_id`` are collapsed first (the last copy stays)."""
+Order is the column ``ordinal``. Groups are judged by combining aggregates; duplicates of one ``paper_id`` are
+collapsed first (the last copy stays)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsieve.functions.ids import normalize_arxiv, normalize_doi
 from litsieve.functions.similarity import indel_ratio
 from litsieve.functions.text import normalize_title
-from litsieve.session import materialize
+from litsieve.session import materialize, release
+
+#: Least Indel ratio of two titles of one year that are taken for one work's.
+FUZZY = 0.85
 
 
 def latest_copies(papers: DataFrame) -> DataFrame:
@@ -39,17 +40,31 @@ def _clusters(df: DataFrame, key: list[str], kind: str, confidence: float = 1.0)
     )
 
 
-def assignments(papers: DataFrame, raw_ids: bool = False) -> DataFrame:
-    """(ordinal, paper_id, match_type, leader): the cluster of every record that is in one, by the exact passes in
-    order: DOI; arXiv id among the rest; normalised title and year among the rest of those."""
-    p = materialize(keyed(latest_copies(papers), raw_ids).select("ordinal", "paper_id", "doi_n", "arxiv_n", "title_n", "year"), "keyed")
+def assignments(papers: DataFrame, raw_ids: bool = False, least: float = FUZZY) -> DataFrame:
+    """(ordinal, paper_id, match_type, leader, confidence): the cluster of every record that is in one, by passes in order:
+    DOI; arXiv id among the rest; titles of one year among the rest of those, equal or with an Indel ratio of at
+    least ``least``. Of similar titles the earliest leads and absorbs later ones; a leader is absorbed by none, and
+    records without title or year are in no title cluster."""
+    p = materialize(keyed(latest_copies(papers), raw_ids).select("ordinal", "paper_id", "doi_n", "arxiv_n", "title_n", F.nullif("year", F.lit(0)).alias("year")), "keyed")
     out = None
-    for key, kind in ((["doi_n"], "doi"), (["arxiv_n"], "arxiv"), (["title_n", "year"], "title_exact")):
+    for key, kind in ((["doi_n"], "doi"), (["arxiv_n"], "arxiv")):
         usable = p.dropna(subset=key)
-        hit = materialize(usable.join(_clusters(usable, key, kind), key).select("ordinal", "paper_id", "match_type", "leader"), "hits")
+        hit = materialize(usable.join(_clusters(usable, key, kind), key).select("ordinal", "paper_id", "match_type", "leader", "confidence"), "hits")
         out = hit if out is None else out.unionByName(hit)
         p = p.join(hit.select("ordinal"), "ordinal", "left_anti")
-    return out
+    p = materialize(p.dropna(subset=["title_n", "year"]), "untitled")
+    # records with one title are alike to all others, so titles stand for them, each with its first record
+    titles = p.groupBy("year", "title_n").agg(F.min("ordinal").alias("first"), F.count("*").alias("n"))
+    if least < 1:
+        pairs = materialize(_similar(titles.withColumnRenamed("first", "ordinal"), least), "pairs")
+        led = fuzzy_leaders(pairs).select(F.col("ordinal").alias("first"), "leader")
+        ratio = pairs.select(F.col("ordinal_a").alias("leader"), F.col("ordinal_b").alias("first"), "ratio")
+        titles = titles.join(led, "first", "left").join(ratio, ["leader", "first"], "left").withColumn("leader", F.coalesce("leader", "first"))
+    else:
+        titles = titles.withColumns({"leader": F.col("first"), "ratio": F.lit(None).cast("double")})
+    size = titles.groupBy("leader").agg(F.sum("n").alias("size")).where("size > 1").select("leader")
+    titles = titles.join(size, "leader").select("year", "title_n", "leader", F.when(F.col("ratio").isNull(), "title_exact").otherwise("title_fuzzy").alias("match_type"), F.coalesce("ratio", F.lit(1.0)).alias("confidence"))
+    return out.unionByName(p.join(titles, ["year", "title_n"]).select("ordinal", "paper_id", "match_type", "leader", "confidence"))
 
 
 def clusters_by(papers: DataFrame, kind: str) -> DataFrame:
@@ -73,14 +88,14 @@ def completeness() -> Column:
     )
 
 
-def canonical(papers: DataFrame, strategy: str = "best_completeness") -> DataFrame:
+def canonical(papers: DataFrame, strategy: str = "best_completeness", least: float = FUZZY) -> DataFrame:
     """The deduplicated records: per cluster the canonical row with merged fields, and all rows in no cluster.
 
     External ids are overlaid in input order; the PDF link is the canonical row's or else the first; fields of study
     are united and sorted; counts are the greatest. Ties go to the earlier row. Aggregates only: no list of a
     cluster's rows is built except of its distinct fields and ids."""
     p = latest_copies(papers).withColumn("score", {"best_completeness": completeness(), "most_citations": F.col("citation_count").cast("double")}.get(strategy, F.lit(0.0)))
-    a = assignments(papers).select("ordinal", "leader", "match_type")
+    a = assignments(papers, least=least).select("ordinal", "leader", "match_type")
     p = p.join(a, "ordinal", "left").withColumn("leader", F.coalesce("leader", "ordinal"))
     pick = F.max(F.struct("score", (-F.col("ordinal")).alias("o")))
     pdf = F.nullif("open_access_pdf", F.lit(""))
@@ -102,6 +117,15 @@ def canonical(papers: DataFrame, strategy: str = "best_completeness") -> DataFra
     ).drop("first_pdf", "fields", "citations", "influential", "all_ids", "score")
 
 
+def canonical_map(papers: DataFrame, least: float = FUZZY) -> DataFrame:
+    """(paper_id, canonical_id) of every record: the id of its cluster's canonical record, or its own."""
+    last = latest_copies(papers).where("paper_id is not null")
+    a = materialize(assignments(papers, least=least).select("ordinal", "leader"), "assigned")
+    best = canonical(papers, least=least).where("cluster_size > 1").select("leader", F.col("paper_id").alias("best"))
+    x = last.select("ordinal", "paper_id").join(a, "ordinal", "left").join(best, "leader", "left")
+    return x.select("paper_id", F.coalesce("best", "paper_id").alias("canonical_id"))
+
+
 def batch_first_seen(papers: DataFrame) -> DataFrame:
     """First seen by lower-cased DOI, then among those kept by trimmed lower-cased title. A row that its DOI drops
     never registers its title."""
@@ -114,10 +138,10 @@ def batch_first_seen(papers: DataFrame) -> DataFrame:
     return kept.where("title_l is null").unionByName(kept.join(by_title, ["title_l", "ordinal"], "left_semi"), allowMissingColumns=True).drop("doi_l", "title_l")
 
 
-def summary(papers: DataFrame) -> DataFrame:
+def summary(papers: DataFrame, least: float = FUZZY) -> DataFrame:
     """Records before and after, removed, rate in percent, clusters."""
     last = latest_copies(papers)
-    a = assignments(papers)
+    a = assignments(papers, least=least)
     n = last.agg(F.count("*").alias("before"))
     c = a.agg(F.count("*").alias("clustered"), F.count_distinct("leader").alias("clusters"))
     removed = F.col("clustered") - F.col("clusters")
@@ -162,45 +186,41 @@ def _tile(least: float):
     return compare
 
 
-def fuzzy_title_pairs(papers: DataFrame, least: float = 0.85) -> DataFrame:
-    """(ordinal_a, ordinal_b, ratio): pairs of different normalised titles of one year with an Indel ratio of at
-    least ``least``, between the first records of each title. Exact: a year's titles are cut into tiles of bounded
-    size and every pair of tiles is one group, in which letter counts rule out most pairs before they're compared."""
-    p = latest_copies(papers).select("ordinal", "year", F.nullif(normalize_title("title"), F.lit("")).alias("title_n")).dropna()
-    p = p.groupBy("year", "title_n").agg(F.min("ordinal").alias("ordinal"))
-    n = p.groupBy("year").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    p = p.join(F.broadcast(n), "year").withColumn("tile", F.pmod(F.xxhash64("title_n"), F.col("tiles")).cast("int"))  # a row per year
+def _similar(titles: DataFrame, least: float) -> DataFrame:
+    """(ordinal_a, ordinal_b, ratio) of distinct titles (year, title_n, ordinal) of one year with an Indel ratio of at
+    least ``least``. Exact: a year's titles are cut into tiles of bounded size and every pair of tiles is one
+    group, in which letter counts rule out most pairs before they're compared."""
+    n = titles.groupBy("year").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    p = titles.join(F.broadcast(n), "year").withColumn("tile", F.pmod(F.xxhash64("title_n"), F.col("tiles")).cast("int"))  # a row per year
     others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least("tile", k).alias("i"), F.greatest("tile", k).alias("j"), (F.col("tile") > k).cast("int").alias("side")))
     p = p.select("year", "ordinal", "title_n", F.explode(others).alias("x")).select("year", "x.i", "x.j", "x.side", "ordinal", "title_n")
     return p.groupBy("year", "i", "j").applyInPandas(_tile(least), "ordinal_a bigint, ordinal_b bigint, ratio double")
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    leader: dict[int, int] = {}
-    near: dict[int, list[int]] = {}
-    for a, b in zip(pdf["ordinal_a"], pdf["ordinal_b"]):
-        near.setdefault(b, []).append(a)
-        near.setdefault(a, [])
-    for v in sorted(near):
-        mine = [u for u in sorted(near[v]) if leader.get(u) == u]
-        leader[v] = mine[0] if mine else v
-    return pd.DataFrame({"ordinal": list(leader), "leader": list(leader.values())})
+def fuzzy_title_pairs(papers: DataFrame, least: float = FUZZY) -> DataFrame:
+    """(ordinal_a, ordinal_b, ratio): pairs of different normalised titles of one year with an Indel ratio of at
+    least ``least``, between the first records of each title."""
+    p = latest_copies(papers).select("ordinal", "year", F.nullif(normalize_title("title"), F.lit("")).alias("title_n")).dropna()
+    return _similar(p.groupBy("year", "title_n").agg(F.min("ordinal").alias("ordinal")), least)
 
 
-def fuzzy_leaders(pairs: DataFrame, years: DataFrame) -> DataFrame:
-    """(ordinal, leader) by the sequential rule: an earlier leader that is similar absorbs a record, the earliest
-    one first. Only a year's matched pairs are looked at together."""
-    x = pairs.join(years.select(F.col("ordinal").alias("ordinal_a"), "year"), "ordinal_a")
-    return x.groupBy("year").applyInPandas(_greedy, "ordinal bigint, leader bigint")
+def fuzzy_leaders(pairs: DataFrame) -> DataFrame:
+    """(ordinal, leader) by the sequential rule: an earlier leader that is similar absorbs a record, the earliest one
+    first. Found in rounds: a record all of whose earlier neighbours are absorbed leads; one with a leader among
+    them is absorbed; each round decides the earliest open record at least, so the rounds end."""
+    links = materialize(pairs.select(F.col("ordinal_a").alias("a"), F.col("ordinal_b").alias("b")), "links")
+    state = materialize(links.select(F.col("a").alias("v")).union(links.select("b")).distinct().withColumn("leads", F.lit(None).cast("boolean")), "state")
+    while not state.where("leads is null").isEmpty():
+        before = links.join(state.select(F.col("v").alias("a"), "leads"), "a").groupBy(F.col("b").alias("v")).agg(F.coalesce(F.max("leads"), F.lit(False)).alias("led"), F.count_if(F.col("leads").isNull()).alias("open"))
+        x = state.join(before, "v", "left")
+        leads = F.when(F.col("leads").isNotNull(), F.col("leads")).when(F.col("led"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        old, state = state, materialize(x.select("v", leads.alias("leads")), "state")
+        release(old)
+    first = links.join(state.where("leads").select(F.col("v").alias("a")), "a").groupBy(F.col("b").alias("v")).agg(F.min("a").alias("a"))
+    return state.join(first, "v", "left").select(F.col("v").alias("ordinal"), F.when(F.col("leads"), F.col("v")).otherwise(F.col("a")).alias("leader"))
 
 
 def duplicate_report(papers: DataFrame) -> DataFrame:
     """Values of DOI and arXiv id that several records have, as typed."""
     parts = [papers.where(F.length(c) > 0).groupBy(F.lit(c).alias("field"), F.col(c).alias("value")).agg(F.count("*").alias("n")).where("n > 1") for c in ("doi", "arxiv_id")]
     return parts[0].unionByName(parts[1])
-
-
-def version_rank(papers: DataFrame) -> DataFrame:
-    """Each record's place among the copies of its ``paper_id``, latest first."""
-    w = Window.partitionBy("paper_id").orderBy(F.desc("ordinal"))
-    return papers.select("paper_id", "ordinal", F.row_number().over(w).cast("bigint").alias("copy_no"))

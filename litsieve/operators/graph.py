@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsieve.functions.ids import normalize_doi
-from litsieve.session import materialize, release
+from litsieve.session import materialize, ranked, release
 
 WEIGHTS = {"pagerank": 0.4, "in_degree": 0.3, "betweenness": 0.2, "citations": 0.1}
 
@@ -33,6 +33,15 @@ def citation_stats(edges: DataFrame, papers: DataFrame) -> DataFrame:
     )
 
 
+def mapped(edges: DataFrame, papers: DataFrame, ids: DataFrame) -> DataFrame:
+    """Resolved edges between canonical records (ids: paper_id, canonical_id); unknown ids stay. A cited work may hold
+    much of the edges; ``ids`` has each id once, so the joins may be split on their left side."""
+    e = resolve(edges, papers)
+    for c in ("citing_paper_id", "cited_paper_id"):
+        e = e.join(ids.select(F.col("paper_id").alias(c), F.col("canonical_id").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+    return e.select(edges.columns)
+
+
 def graph(edges: DataFrame, papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes: id; links: src, dst, weight): all papers and endpoints; repeated references add weight."""
     e = resolve(edges, papers).where("citing_paper_id is not null and cited_paper_id is not null and citing_paper_id <> cited_paper_id")
@@ -183,7 +192,7 @@ def influence(metrics: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFr
     """Adds the normalised metrics, ``influence_score`` and ``rank`` (ties: by id)."""
     x = minmax(metrics.withColumn("citations", F.log1p(F.col("citation_count").cast("double"))), *weights)
     x = x.withColumn("influence_score", F.round(weighted(weights), 10))
-    return x.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("influence_score"), "paper_id")).cast("bigint"))
+    return ranked(x, [F.desc("influence_score"), F.asc("paper_id")], "rank")
 
 
 def _paper_counts(papers: DataFrame) -> DataFrame:
@@ -191,12 +200,12 @@ def _paper_counts(papers: DataFrame) -> DataFrame:
 
 
 def simple_influence(edges: DataFrame, papers: DataFrame) -> DataFrame:
-    """Influence without power iteration: share of all reference weight as rank, betweenness 0."""
+    """Influence without power iteration: share of all reference weight as rank, weighted in-degree, betweenness 0."""
     nodes, links = graph(edges, papers)
     total = links.agg(F.sum("weight").alias("all"))
     d = in_degree(links)
-    m = _paper_counts(papers).join(d.withColumnRenamed("id", "paper_id"), "paper_id", "left").crossJoin(F.broadcast(total))
-    m = m.select("paper_id", "citation_count", F.coalesce(F.col("references") / F.nullif("all", F.lit(0)), F.lit(0.0)).alias("pagerank"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"), F.lit(0.0).alias("betweenness"))
+    m = _paper_counts(papers).join(d.withColumnRenamed("id", "paper_id"), "paper_id", "left").crossJoin(F.broadcast(total))  # one row
+    m = m.select("paper_id", "citation_count", F.coalesce(F.col("references") / F.nullif("all", F.lit(0)), F.lit(0.0)).alias("pagerank"), F.coalesce("references", F.lit(0)).alias("in_degree"), F.lit(0.0).alias("betweenness"))
     return influence(m)
 
 

@@ -86,9 +86,14 @@ def query_id(source: str, query: str, start: str, end: str) -> Column:
 
 
 def conflicts(votes: DataFrame) -> DataFrame:
-    """Papers with two or more reviews and more than one decision; with the first two reviewers (by id)."""
-    g = votes.groupBy("paper_id").agg(F.count("*").alias("reviews"), F.count_distinct("decision").alias("decisions"), F.array_sort(F.collect_set("reviewer")).alias("r"))
-    return g.where("reviews >= 2 and decisions > 1").select("paper_id", "reviews", "decisions", F.try_element_at("r", F.lit(1)).alias("reviewer_1"), F.try_element_at("r", F.lit(2)).alias("reviewer_2"))
+    """Papers with two or more reviews and more than one decision, with the first two reviewers in the order of column
+    ``place`` (votes: paper_id, reviewer, decision, place)."""
+    g = votes.groupBy("paper_id").agg(F.count("*").alias("reviews"), F.count_distinct("decision").alias("decisions"))
+    first = votes.groupBy("paper_id", "reviewer").agg(F.min("place").alias("place"))
+    one = first.groupBy("paper_id").agg(F.min(F.struct("place", "reviewer")).alias("x"))
+    two = first.join(one, "paper_id").where("reviewer <> x.reviewer").groupBy("paper_id").agg(F.min(F.struct("place", "reviewer")).alias("y"))
+    x = g.where("reviews >= 2 and decisions > 1").join(one, "paper_id", "left").join(two, "paper_id", "left")
+    return x.select("paper_id", "reviews", "decisions", F.col("x.reviewer").alias("reviewer_1"), F.col("y.reviewer").alias("reviewer_2"))
 
 
 def round_robin(papers: DataFrame, reviewers: DataFrame) -> DataFrame:
@@ -113,7 +118,3 @@ def simplified(papers: DataFrame) -> DataFrame:
     """Rows for a flat file: authors joined, abstract cut to 200 characters."""
     cut = F.when(F.length("abstract") > 200, F.concat(F.substr("abstract", F.lit(1), F.lit(200)), F.lit("..."))).otherwise(F.coalesce("abstract", F.lit("")))
     return papers.select("ordinal", "title", F.array_join(F.transform("authors", lambda a: a["name"]), "; ").alias("authors"), "year", cut.alias("abstract"))
-
-
-def title_lengths(papers: DataFrame) -> DataFrame:
-    return papers.select("ordinal", F.size(F.split(normalize_title("title"), " ")).cast("bigint").alias("words"))

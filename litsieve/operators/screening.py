@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litsieve.functions.similarity import cosine
+from litsieve.session import ranked
 
 AUTO, MAYBE = 0.75, 0.5
 CRITERION = "criterion_id string, kind string, weight double, mandatory boolean"
@@ -77,8 +78,7 @@ def review_queue(results: DataFrame, priority: DataFrame | None = None, priority
         q = q.where((F.col("priority") == 1) | (F.col("decision") == "maybe") | (F.col("confidence") < 0.7))
     else:
         q = q.withColumn("priority", F.lit(0))
-    w = Window.orderBy(F.desc(F.coalesce("priority", F.lit(0))), "confidence", "paper_id")
-    return q.withColumn("place", F.row_number().over(w).cast("bigint"))
+    return ranked(q, [F.desc(F.coalesce("priority", F.lit(0))), F.asc("confidence"), F.asc("paper_id")], "place")
 
 
 def review_stats(reviewed: DataFrame) -> DataFrame:

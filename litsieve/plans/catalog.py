@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litsieve.functions import ids, text
 from litsieve.functions.similarity import cosine
-from litsieve.operators import bibtex, dedup, extraction, graph, meta, nested, reports, screening, searches
+from litsieve.operators import bibtex, dedup, extraction, graph, meta, nested, reports, screening, searches, selection
 from litsieve.operators import screening as sc
 from litsieve.session import table
 from litsieve.sources import ingest
@@ -60,7 +60,7 @@ _ASSIGNED = f"""{_LAST}, {_KEYED},
  b1 AS (SELECT * FROM b WHERE n > 1), k2 AS (SELECT * FROM k1 WHERE ordinal NOT IN (SELECT ordinal FROM b1)),
  c AS (SELECT ordinal, paper_id, 'title_exact' AS match_type, min(ordinal) OVER (PARTITION BY title_n, year) AS leader, count(*) OVER (PARTITION BY title_n, year) AS n FROM k2 WHERE title_n IS NOT NULL AND year IS NOT NULL),
  c1 AS (SELECT * FROM c WHERE n > 1),
- assigned AS (SELECT ordinal, paper_id, match_type, leader FROM a1 UNION ALL SELECT ordinal, paper_id, match_type, leader FROM b1 UNION ALL SELECT ordinal, paper_id, match_type, leader FROM c1)"""
+ assigned AS (SELECT ordinal, paper_id, match_type, leader, 1.0::DOUBLE AS confidence FROM a1 UNION ALL SELECT ordinal, paper_id, match_type, leader, 1.0 FROM b1 UNION ALL SELECT ordinal, paper_id, match_type, leader, 1.0 FROM c1)"""
 _INDEX = f"idx AS (SELECT {_doi('doi')} AS k, arg_max(paper_id, ordinal) AS resolved FROM papers WHERE {_doi('doi')} IS NOT NULL GROUP BY 1)"
 _RESOLVED = f"{_INDEX}, r AS (SELECT e.citing_paper_id, coalesce(nullif(e.cited_paper_id, ''), idx.resolved) AS cited_paper_id, e.cited_doi, e.source FROM citation_edges e LEFT JOIN idx ON {_doi('e.cited_doi')} = idx.k)"
 _GRAPH = f"""{_RESOLVED},
@@ -95,7 +95,10 @@ _add("title_sentences", lambda p: p.select("ordinal", F.size(text.sentences("abs
 for _kind, _key in (("doi", _doi("doi")), ("arxiv", _arxiv("arxiv_id"))):
     _add(f"{_kind}_clusters", lambda p, k=_kind: dedup.clusters_by(p, k), "papers",
          sql=f"WITH {_LAST}, {_KEYED} SELECT {_kind}_n AS cluster_key, count(*) AS n, arg_min(paper_id, ordinal) AS first_id, string_agg(paper_id, ' ' ORDER BY ordinal) AS members FROM keyed WHERE {_kind}_n IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
-_add("dedup_assignments", dedup.assignments, "papers", sql=f"WITH {_ASSIGNED} SELECT * FROM assigned")
+# SQL has no Indel ratio; with equal titles only it states the same
+_EXACT = {"least": 1.0}
+_add("dedup_assignments", dedup.assignments, "papers")
+_add("dedup_assignments_exact", lambda p: dedup.assignments(p, **_EXACT), "papers", sql=f"WITH {_ASSIGNED} SELECT * FROM assigned")
 _SCORE = """(CASE WHEN length(doi) > 0 THEN 10.0 ELSE 0.0 END + CASE WHEN length(arxiv_id) > 0 THEN 5.0 ELSE 0.0 END + CASE WHEN length(abstract) > 0 THEN 5.0 ELSE 0.0 END
  + CASE WHEN len(authors) > 0 THEN 2.0 ELSE 0.0 END + CASE WHEN length(venue) > 0 THEN 2.0 ELSE 0.0 END + CASE WHEN publication_date IS NOT NULL THEN 1.0 ELSE 0.0 END
  + CASE WHEN is_open_access AND length(open_access_pdf) > 0 THEN 3.0 ELSE 0.0 END + 0.5 * coalesce(len(fields_of_study), 0) + 0.5 * least(coalesce(len(authors), 0), 10))::DOUBLE"""
@@ -108,18 +111,38 @@ _CANON = f"""WITH {_ASSIGNED},
  fields AS (SELECT leader, list_sort(list_distinct(flatten(list(fields_of_study)))) AS f FROM x GROUP BY 1)
 SELECT y.ordinal, paper_id, title, y.cluster_size, cites AS citation_count, infl AS influential_citation_count, coalesce(nullif(open_access_pdf, ''), pdf) AS open_access_pdf,
  array_to_string(CASE WHEN y.cluster_size > 1 THEN f ELSE fields_of_study END, '; ') AS fields FROM y LEFT JOIN pdfs USING (leader) LEFT JOIN fields USING (leader) WHERE rn = 1"""
-_add("dedup_canonical", lambda p: dedup.canonical(p).select("ordinal", "paper_id", "title", "cluster_size", "citation_count", "influential_citation_count", "open_access_pdf", F.array_join("fields_of_study", "; ").alias("fields")), "papers", sql=_CANON)
-_add("canonical_external_ids", lambda p: dedup.canonical(p).select("ordinal", F.explode("external_ids").alias("id_type", "id_value")), "papers")
+
+
+def _canonical(p: DataFrame, **how: float) -> DataFrame:
+    x = dedup.canonical(p, **how)
+    return x.select("ordinal", "paper_id", "title", "cluster_size", "citation_count", "influential_citation_count", "open_access_pdf", F.array_join("fields_of_study", "; ").alias("fields"))
+
+
+def _external(p: DataFrame, **how: float) -> DataFrame:
+    return dedup.canonical(p, **how).select("ordinal", F.explode("external_ids").alias("id_type", "id_value"))
+
+
+_IDS = """,
+ e AS (SELECT leader, ordinal, unnest(map_entries(external_ids)) AS kv FROM x), o AS (SELECT leader, kv.key AS id_type, arg_max(kv.value, ordinal) AS id_value FROM e GROUP BY 1, 2)
+SELECT y.ordinal, id_type, id_value FROM y JOIN o USING (leader) WHERE rn = 1"""
+_add("dedup_canonical", _canonical, "papers")
+_add("dedup_canonical_exact", lambda p: _canonical(p, **_EXACT), "papers", sql=_CANON)
+_add("canonical_external_ids", _external, "papers")
+_add("canonical_external_ids_exact", lambda p: _external(p, **_EXACT), "papers", sql=_CANON[: _CANON.index("\nSELECT y.ordinal")] + _IDS)
+_add("canonical_map", dedup.canonical_map, "papers")
+_add("canonical_map_exact", lambda p: dedup.canonical_map(p, **_EXACT), "papers",
+     sql=_CANON[: _CANON.index("\nSELECT y.ordinal")] + "\nSELECT x.paper_id, y.paper_id AS canonical_id FROM x JOIN y ON x.leader = y.leader AND rn = 1 WHERE x.paper_id IS NOT NULL")
 _add("batch_dedup", lambda p: dedup.batch_first_seen(p).select("ordinal", "paper_id"), "papers",
      sql="""WITH a AS (SELECT *, nullif(lower(doi), '') AS d FROM papers), b AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY ordinal) AS rd FROM a),
  k AS (SELECT *, nullif(lower(trim(title)), '') AS t FROM b WHERE d IS NULL OR rd = 1), m AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY ordinal) AS rt FROM k) SELECT ordinal, paper_id FROM m WHERE t IS NULL OR rt = 1""")
-_add("dedup_summary", dedup.summary, "papers",
+_add("dedup_summary", dedup.summary, "papers")
+_add("dedup_summary_exact", lambda p: dedup.summary(p, **_EXACT), "papers",
      sql=f"WITH {_ASSIGNED}, n AS (SELECT count(*) AS before FROM last_copies), q AS (SELECT count(*) - count(DISTINCT leader) AS removed, count(DISTINCT leader) AS clusters FROM assigned) SELECT before, before - removed AS after, removed, round(100.0 * removed / nullif(before, 0), 4) AS rate, clusters FROM n, q")
 _add("duplicate_report", dedup.duplicate_report, "papers",
      sql="SELECT 'doi' AS field, doi AS value, count(*) AS n FROM papers WHERE length(doi) > 0 GROUP BY doi HAVING count(*) > 1 UNION ALL SELECT 'arxiv_id', arxiv_id, count(*) FROM papers WHERE length(arxiv_id) > 0 GROUP BY arxiv_id HAVING count(*) > 1")
 _add("latest_copies", lambda p: dedup.latest_copies(p).select("ordinal", "paper_id"), "papers", sql=f"WITH {_LAST} SELECT ordinal, paper_id FROM last_copies")
 _add("fuzzy_title_pairs", dedup.fuzzy_title_pairs, "papers")
-_add("fuzzy_title_leaders", lambda p: dedup.fuzzy_leaders(dedup.fuzzy_title_pairs(p), p), "papers")
+_add("fuzzy_title_leaders", lambda p: dedup.fuzzy_leaders(dedup.fuzzy_title_pairs(p)), "papers")
 
 # --- reports --------------------------------------------------------------------------------------------------------
 _add("papers_by_source", reports.by_source, "papers", sql="SELECT source.database AS database, count(*) AS papers FROM papers GROUP BY 1")
@@ -153,13 +176,25 @@ _add("dual_review", reports.dual_review, "papers", "workspace_users", sql="SELEC
 
 
 def _reviews(c: DataFrame) -> DataFrame:
-    one = lambda i: F.struct(F.col(f"reviewer{i}_id").alias("reviewer"), F.nullif(F.lower(F.trim(f"reviewer{i}_decision")), F.lit("")).alias("decision"))
-    return c.select("paper_id", F.explode(F.array(one(1), one(2))).alias("x")).select("paper_id", "x.reviewer", "x.decision").where("decision is not null")
+    # in the order of resolution, open ones last; the first reviewer of a row before the second
+    when = F.coalesce(F.unix_micros("resolved_at"), F.lit(1 << 60)) * 2
+
+    def one(i: int) -> Column:
+        decision = F.nullif(F.lower(F.trim(f"reviewer{i}_decision")), F.lit(""))
+        return F.struct(F.col(f"reviewer{i}_id").alias("reviewer"), decision.alias("decision"), (when + (i - 1)).alias("place"))
 
+    return c.select("paper_id", F.explode(F.array(one(1), one(2))).alias("x")).select("paper_id", "x.reviewer", "x.decision", "x.place").where("decision is not null")
 
-_REVIEWS = "v AS (SELECT paper_id, reviewer1_id AS reviewer, nullif(lower(trim(reviewer1_decision)), '') AS decision FROM conflict_resolutions UNION ALL SELECT paper_id, reviewer2_id, nullif(lower(trim(reviewer2_decision)), '') FROM conflict_resolutions)"
+
+_REVIEWS = "v AS (" + " UNION ALL ".join(
+    f"SELECT paper_id, reviewer{i}_id AS reviewer, nullif(lower(trim(reviewer{i}_decision)), '') AS decision, coalesce(epoch_us(resolved_at), {1 << 60}) * 2 + {i - 1} AS place FROM conflict_resolutions"
+    for i in (1, 2)
+) + ")"
 _add("review_conflicts", lambda c: reports.conflicts(_reviews(c)), "conflict_resolutions",
-     sql=f"WITH {_REVIEWS} SELECT paper_id, count(*) AS reviews, count(DISTINCT decision) AS decisions, list_sort(list(DISTINCT reviewer))[1] AS reviewer_1, list_sort(list(DISTINCT reviewer))[2] AS reviewer_2 FROM v WHERE decision IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT decision) > 1")
+     sql=f"""WITH {_REVIEWS}, w AS (SELECT * FROM v WHERE decision IS NOT NULL), f AS (SELECT paper_id, reviewer, min(place) AS place FROM w GROUP BY 1, 2),
+ o AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY place, reviewer) AS k FROM f),
+ g AS (SELECT paper_id, count(*) AS reviews, count(DISTINCT decision) AS decisions FROM w GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT decision) > 1)
+SELECT g.*, a.reviewer AS reviewer_1, b.reviewer AS reviewer_2 FROM g LEFT JOIN o a ON g.paper_id = a.paper_id AND a.k = 1 LEFT JOIN o b ON g.paper_id = b.paper_id AND b.k = 2""")
 _add("decision_counts", lambda c: _reviews(c).groupBy("decision").agg(F.count("*").alias("n")), "conflict_resolutions", sql=f"WITH {_REVIEWS} SELECT decision, count(*) AS n FROM v WHERE decision IS NOT NULL GROUP BY 1")
 
 # --- graph ----------------------------------------------------------------------------------------------------------
@@ -175,11 +210,18 @@ _NORM = lambda c: f"coalesce(({c} - min({c}) OVER ()) / nullif((max({c}) OVER ()
 _add("influence_simple", lambda e, p: graph.simple_influence(e, p).select("paper_id", F.round("influence_score", 6).alias("influence_score")), "citation_edges", "papers",
      sql=f"""WITH {_GRAPH}, d AS (SELECT dst, count(*) AS deg, sum(weight) AS refs FROM links GROUP BY 1), t AS (SELECT sum(weight) AS all_w FROM links),
  c AS (SELECT paper_id, coalesce(arg_max(citation_count, ordinal), 0) AS cc FROM papers GROUP BY 1),
- m AS (SELECT paper_id, ln(1 + cc) AS cit, coalesce(refs / nullif(all_w, 0)::DOUBLE, 0) AS pr, coalesce(deg, 0)::DOUBLE AS deg FROM c LEFT JOIN d ON c.paper_id = d.dst, t)
+ m AS (SELECT paper_id, ln(1 + cc) AS cit, coalesce(refs / nullif(all_w, 0)::DOUBLE, 0) AS pr, coalesce(refs, 0)::DOUBLE AS deg FROM c LEFT JOIN d ON c.paper_id = d.dst, t)
 SELECT paper_id, round({_W['pagerank']} * {_NORM('pr')} + {_W['in_degree']} * {_NORM('deg')} + {_W['citations']} * {_NORM('cit')}, 6) AS influence_score FROM m""")
 _add("pagerank", lambda e, p: graph.pagerank(*graph.graph(e, p)).select("id", F.round("pagerank", 12).alias("pagerank")), "citation_edges", "papers")
 _add("betweenness", lambda e, p: graph.betweenness(*graph.graph(e, p)), "citation_edges", "papers")
-_add("influence_ranked", lambda e, p: graph.full_influence(e, dedup.canonical(p)).select("rank", "paper_id", "citation_count", "in_degree", "pagerank", "influence_score"), "citation_edges", "papers")
+
+
+def _influence(e: DataFrame, p: DataFrame) -> DataFrame:
+    """References to and from a duplicate count for its canonical record."""
+    return graph.full_influence(graph.mapped(e, p, dedup.canonical_map(p)), dedup.canonical(p))
+
+
+_add("influence_ranked", lambda e, p: _influence(e, p).select("rank", "paper_id", "citation_count", "in_degree", "pagerank", "influence_score"), "citation_edges", "papers")
 
 # --- meta-analysis: discounts per supplier as effects -----------------------------------------------------------------
 _EFFECTS = "e AS (SELECT CAST(l_suppkey AS VARCHAR) AS study_id, avg(l_discount) AS effect, stddev_samp(l_discount) / sqrt(count(*)) AS se FROM lineitem GROUP BY l_suppkey), o AS (SELECT *, 1 / (se * se) AS w FROM e WHERE se > 0)"
@@ -241,8 +283,6 @@ _add("review_stats", lambda e: screening.review_stats(_reviewed(e)), "embeddings
 _add("final_decisions", lambda e: screening.final_decisions(_reviewed(e)), "embeddings", sql=f"WITH {_HUMAN} SELECT paper_id, coalesce(human, decision) AS decision, CASE WHEN human IS NOT NULL THEN 'human' ELSE 'auto' END AS decided_by FROM h")
 _add("flow_counts", lambda p, c: screening.flow_counts(p, dedup.batch_first_seen(p), c.select(F.col("final_decision").alias("decision")).where("decision is not null")), "papers", "conflict_resolutions",
      sql=f"WITH {_LAST}, k AS ({_SQL['batch_dedup']}), d AS (SELECT lower(trim(final_decision)) AS x FROM conflict_resolutions WHERE final_decision IS NOT NULL), i AS (SELECT count(*) AS identified FROM papers), f AS (SELECT count(*) AS after FROM k), s AS (SELECT count(*) AS screened, count(*) FILTER (x IN ('exclude', 'excluded')) AS excluded, count(*) FILTER (x IN ('include', 'included')) AS included FROM d) SELECT identified, greatest(identified - after, 0) AS duplicates_removed, screened, excluded, screened - excluded AS assessed, screened - excluded - included AS reports_excluded, included FROM i, f, s")
-_add("vector_norms", lambda e: e.select("vec_id", F.round(cosine(F.col("embedding"), F.col("embedding")), 6).alias("self")), "embeddings", sql="SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS self FROM embeddings")
-
 # --- extraction and quality ---------------------------------------------------------------------------------------------
 _SIZES = ", ".join(f"list_max(list_transform(regexp_extract_all(abstract, '(?i){p}', 1), lambda x: TRY_CAST(x AS BIGINT)))" for p in extraction.SIZE)
 _add("sample_sizes", lambda p: p.select("ordinal", extraction.sample_size(F.col("abstract")).alias("n")).where("n is not null"), "papers", sql=f"SELECT * FROM (SELECT ordinal, coalesce({_SIZES}) AS n FROM papers) WHERE n IS NOT NULL")
@@ -254,7 +294,7 @@ _DESIGN = "CASE WHEN abstract IS NULL THEN 'unknown' ELSE (WITH h(d, k, n) AS (V
 _add("study_designs", lambda p: p.select("ordinal", extraction.study_design(F.col("abstract")).alias("design")), "papers", sql=f"SELECT ordinal, {_DESIGN} AS design FROM papers")
 _add("stat_methods", lambda p: p.select("ordinal", F.array_join(extraction.methods(F.col("abstract")), "; ").alias("methods")).where("methods <> ''"), "papers",
      sql="SELECT * FROM (SELECT ordinal, array_to_string(list_filter([" + ", ".join(f"'{m}'" for m in extraction.METHODS) + "], lambda m: contains(lower(abstract), m)), '; ') AS methods FROM papers) WHERE methods <> ''")
-_add("effect_sizes", lambda d: extraction.effect_sizes(d.select(F.col("doc_id").alias("id"), "text"), lenient_ci=True), "documents")
+_add("effect_sizes", lambda p: extraction.effect_sizes(p.select(F.col("ordinal").alias("id"), F.col("abstract").alias("text")), lenient_ci=True), "papers")
 
 
 def _routes(p: DataFrame) -> DataFrame:
@@ -282,10 +322,14 @@ for _tool in ("rob2", "newcastle_ottawa"):
          sql="WITH p AS (SELECT ordinal, lower(coalesce(abstract, '')) AS t FROM papers), h AS (SELECT ordinal, [" + ", ".join(_n) + "] AS n FROM p), j AS (SELECT ordinal, n, list_sum(list_transform(n, lambda c: CASE WHEN c >= 2 THEN 0.7 WHEN c = 1 THEN 0.5 ELSE 0.3 END)) / len(n) AS m, list_min(n) AS w FROM h) SELECT ordinal, array_to_string(list_transform(n, lambda c: CASE WHEN c >= 2 THEN 'low' WHEN c = 1 THEN 'some' ELSE 'high' END), ' ') AS domains, CASE WHEN w >= 2 THEN 'low' WHEN w = 1 THEN 'some' ELSE 'high' END AS overall, round(m::DOUBLE, 6) AS confidence, round(m::DOUBLE, 9) < 0.6 OR w = 0 AS needs_review FROM j")
 
 # --- bibliography and searches ------------------------------------------------------------------------------------------
+#: a, b, ..., z, aa, ... for the second, third, ... record of a base
+_SUFFIX = " || ".join(f"CASE WHEN k - 1 >= {(26 ** (i + 1) - 1) // 25} THEN chr(CAST(97 + ((k - 1 - {(26 ** (i + 1) - 1) // 25}) // {26**i}) % 26 AS INTEGER)) ELSE '' END" for i in reversed(range(8)))
 _add("cite_keys", lambda p: bibtex.keys(p).select("ordinal", "cite_key"), "papers",
      sql="""WITH b AS (SELECT ordinal, concat_ws('_', coalesce(lower(list_filter(regexp_split_to_array(trim(authors[1].name), '\\s+'), lambda x: length(x) > 0)[-1]), 'unknown'), coalesce(CAST(nullif(year, 0) AS VARCHAR), 'n.d.'),
  coalesce(lower(list_filter(string_split(trim(regexp_replace(title, '[^a-zA-Z0-9 ]', '', 'g')), ' '), lambda x: length(x) > 0)[1]), 'untitled')) AS base FROM papers), k AS (SELECT ordinal, base, row_number() OVER (PARTITION BY base ORDER BY ordinal) AS k FROM b)
-SELECT ordinal, CASE WHEN k = 1 THEN base ELSE base || chr(CAST((95 + k) % 256 AS INTEGER)) END AS cite_key FROM k""")
+""" + f", n AS (SELECT ordinal, base, k, base || {_SUFFIX} AS cite_key FROM k)," + """
+ o AS (SELECT *, row_number() OVER (PARTITION BY cite_key ORDER BY ordinal) AS r FROM n)
+SELECT ordinal, CASE WHEN r = 1 THEN cite_key ELSE concat_ws('_', base, k) END AS cite_key FROM o""")
 _add("bibtex_entries", bibtex.entries, "papers")
 _TERMS = "t(domain, kind, place, term) AS (VALUES " + ", ".join(f"('{d}', '{g}', {i}, '{t}')" for d, g, ts in searches.DOMAINS for i, t in enumerate(ts)) + "), pr AS (SELECT a.domain, a.kind, a.term || ' ' || b.term AS q FROM t a JOIN t b ON a.domain = b.domain AND a.kind = b.kind AND a.place < b.place), core AS (SELECT domain, q FROM pr WHERE kind = 'core')"
 _QUERIES["query_pairs"] = lambda spark, d: searches.pairs(searches.domain_terms(spark).where("kind = 'core'"))
@@ -306,3 +350,51 @@ _add("living_update", living.replay, "papers",
  inc AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY ordinal) AS rn FROM papers, h WHERE ordinal > m), f AS (SELECT * FROM inc WHERE rn = 1 AND paper_id NOT IN (SELECT paper_id FROM old)),
  a AS (SELECT *, nullif(lower(doi), '') AS d FROM f), b AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY ordinal) AS rd FROM a), k AS (SELECT *, nullif(lower(trim(title)), '') AS t FROM b WHERE d IS NULL OR rd = 1), n AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY ordinal) AS rt FROM k)
 SELECT paper_id, ordinal FROM old UNION ALL SELECT paper_id, ordinal FROM n WHERE t IS NULL OR rt = 1""")
+
+# --- filters, joins and lists ---------------------------------------------------------------------------------------------
+_decisions = lambda c: c.select("paper_id", F.col("final_decision").alias("decision"))
+_FINAL = "d AS (SELECT paper_id, final_decision AS decision FROM conflict_resolutions)"
+_add("included_papers", lambda p, c: selection.decided_papers(p.select("ordinal", "paper_id", "year"), selection.by_decision(_decisions(c), "include").select("paper_id").distinct()), "papers", "conflict_resolutions",
+     sql=f"WITH {_FINAL} SELECT ordinal, paper_id, year FROM papers WHERE paper_id IN (SELECT paper_id FROM d WHERE lower(trim(decision)) = 'include')")
+_add("decided_papers", lambda p, c: selection.decided_papers(p.select("ordinal", "paper_id", "year"), _decisions(c)), "papers", "conflict_resolutions",
+     sql=f"WITH {_FINAL} SELECT ordinal, paper_id, year, decision FROM papers JOIN d USING (paper_id)")
+_add("training_rows", lambda p, c: selection.training_rows(p, _decisions(c)), "papers", "conflict_resolutions",
+     sql=f"WITH {_LAST}, {_FINAL} SELECT paper_id, coalesce(title, '') || ' ' || coalesce(abstract, '') AS text, label FROM last_copies JOIN (SELECT DISTINCT paper_id, CASE WHEN lower(trim(decision)) = 'include' THEN 1 ELSE 0 END AS label FROM d WHERE lower(trim(decision)) IN ('include', 'exclude')) l USING (paper_id)")
+_add("decision_shares", lambda c: selection.decision_shares(_decisions(c)), "conflict_resolutions",
+     sql=f"WITH {_FINAL} SELECT decision, count(*) AS n, round(100.0 * count(*) / nullif(sum(count(*)) OVER (), 0), 4)::DOUBLE AS percent FROM d GROUP BY 1")
+_FILLED = {"doi": "length(trim(doi)) > 0", "abstract": "length(trim(abstract)) > 0", "year": "year IS NOT NULL", "authors": "len(authors) > 0", "venue": "length(trim(venue)) > 0", "open_access_pdf": "length(trim(open_access_pdf)) > 0"}
+_add("field_coverage", selection.coverage, "papers",
+     sql=" UNION ALL ".join(f"SELECT '{c}' AS field, count(*) FILTER ({ok}) AS filled, round(100.0 * count(*) FILTER ({ok}) / nullif(count(*), 0), 4)::DOUBLE AS percent FROM papers" for c, ok in _FILLED.items()))
+_add("most_influential_papers", lambda e, p: selection.among_most_influential(p.select("ordinal", "paper_id"), graph.simple_influence(e, p).withColumn("influence_score", F.round("influence_score", 6)), 50), "citation_edges", "papers",
+     sql=f"WITH s AS ({_SQL['influence_simple']}), b AS (SELECT paper_id FROM s ORDER BY influence_score DESC, paper_id LIMIT 50) SELECT ordinal, paper_id FROM papers WHERE paper_id IN (SELECT paper_id FROM b)")
+_H = "greatest(least(confidence, 1 - 1e-10), 1e-10)"
+_add("most_uncertain", lambda e: selection.most_uncertain(_decided(e).withColumn("p", F.col("confidence")), 20), "embeddings",
+     sql=f"WITH {_DECIDE} SELECT paper_id, round(-({_H} * ln({_H}) + (1 - {_H}) * ln(1 - {_H})), 6) AS entropy FROM d ORDER BY entropy DESC, paper_id LIMIT 20")
+_add("next_unreviewed", lambda e: selection.next_unreviewed(screening.review_queue(_reviewed(e)), 10).select("paper_id", "place"), "embeddings",
+     sql=f"WITH {_HUMAN}, q AS (SELECT *, row_number() OVER (ORDER BY confidence, paper_id) AS place FROM h WHERE decision = 'maybe' OR confidence < 0.7) SELECT paper_id, place FROM q WHERE human IS NULL ORDER BY place LIMIT 10")
+_add("distinct_queries", lambda q: q.select("query_text").distinct(), "search_queries", sql="SELECT DISTINCT query_text FROM search_queries")
+_add("publication_years", lambda p: p.select("ordinal", F.year("publication_date").alias("year")), "papers", sql="SELECT ordinal, CAST(year(publication_date) AS INTEGER) AS year FROM papers")
+_add("paper_texts", lambda p: p.select("ordinal", F.md5(selection.paper_text()).alias("digest")), "papers", sql="SELECT ordinal, md5(coalesce(title, '') || '. ' || coalesce(abstract, '')) AS digest FROM papers")
+#: Stated criteria and a vocabulary, each with its phrases.
+PHRASES = {"population": ("smallholder farmers", "older adults", "rural households"), "design": ("randomised controlled trial", "systematic review"), "outcome": ("depressive symptoms", "quality of life"), "none": ()}
+
+
+def _phrases(p: DataFrame) -> DataFrame:
+    return p.sparkSession.createDataFrame([(c, list(k)) for c, k in PHRASES.items()], "criterion_id string, keywords array<string>")
+
+
+_W_OF = lambda c: f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
+_LIKE = lambda a, b: f"CASE WHEN len({a}) * len({b}) > 0 THEN len(list_intersect({a}, {b})) / sqrt(len({a}) * len({b})) ELSE 0 END"
+_TEXT = "coalesce(title, '') || '. ' || coalesce(abstract, '')"
+_PHRASES = "k AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{x}')" for c, k in PHRASES.items() for x in k) + ") AS t(criterion_id, phrase))"
+_MATCHES = f"""{_PHRASES}, w AS (SELECT ordinal, {_W_OF(_TEXT)} AS w FROM papers), kw AS (SELECT criterion_id, {_W_OF('phrase')} AS p FROM k),
+ s AS (SELECT ordinal, criterion_id, round(max({_LIKE('w', 'p')}), 6) AS sim FROM w, kw GROUP BY 1, 2)"""
+_add("criterion_matches", lambda p: selection.criterion_matches(p, _phrases(p)), "papers",
+     sql=f"WITH {_MATCHES} SELECT ordinal, criterion_id, sim, sim >= 0.2 AS matches FROM s UNION ALL SELECT ordinal, 'none', 0, false FROM papers")
+_add("vocabulary_tags", lambda p: selection.vocabulary_tags(p, _phrases(p).select(F.col("criterion_id").alias("concept"), F.explode("keywords").alias("term"))), "papers",
+     sql=f"WITH {_MATCHES} SELECT ordinal, criterion_id AS concept, sim FROM s WHERE sim >= 0.2")
+_add("evidence_sentences", lambda p: selection.evidence(p, _phrases(p).where("size(keywords) > 0")).withColumn("sentence", F.md5("sentence")), "papers",
+     sql=f"""WITH {_PHRASES}, kw AS (SELECT criterion_id, {_W_OF("string_agg(phrase, ' ')")} AS p FROM k GROUP BY 1),
+ l AS (SELECT ordinal, list_filter(string_split({_TEXT}, '.'), lambda x: length(trim(x)) > 20) AS l FROM papers), s AS (SELECT ordinal, unnest(l) AS sentence, generate_subscripts(l, 1) AS at FROM l),
+ v AS (SELECT *, {_W_OF('sentence')} AS w FROM s), x AS (SELECT ordinal, criterion_id, at, trim(sentence) AS sentence, round({_LIKE('w', 'p')}, 6) AS sim FROM v, kw),
+ r AS (SELECT *, row_number() OVER (PARTITION BY ordinal, criterion_id ORDER BY sim DESC, at) AS place FROM x) SELECT ordinal, criterion_id, place, md5(sentence) AS sentence, sim FROM r WHERE place <= 3""")

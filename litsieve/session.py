@@ -91,6 +91,19 @@ def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int =
     return n <= max_rows and (size or 0) <= max_bytes
 
 
+def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with its place, from 1, in a total order. Rows are range-partitioned by the order and counted per
+    partition, so that no task sees all rows."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    x = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    n = x.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per partition
+    before = n.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return x.join(F.broadcast(before), "_part").withColumn(name, place.cast("bigint")).drop("_part", "_before")
+
+
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """``big`` joined with ``small``, which has each key once. ``small``, or the written table ``counted`` that it is made of,
     is broadcast up to a bound of rows and bytes; beyond it both are shuffled, and adaptive execution splits a key
