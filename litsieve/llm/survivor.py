@@ -15,8 +15,8 @@ What makes a value sound is given by the task; which of a group's sound values i
 
 Sound values:
 * citation_count: any; 0 beside positive counts is unknown.
-* abstract: not null, a placeholder or cut (problem 1's model). Damage comes with any date, so that a whole text that
-  continues another one precedes nothing: of whole texts the learned precedence decides.
+* abstract: not null, a placeholder or cut (problem 1's model). A text that the group's longest sound one continues
+  precedes it, whatever the dates.
 * open_access_pdf: links with a host and a path, no login pages.
 * venue: no placeholders, clipped names ("...") or preprint servers, and no abbreviations. That a name abbreviates
   another is learned from the groups that hold both.
@@ -88,7 +88,7 @@ def retrieved(c: Column) -> Column:
 
 
 def _written(c: Column) -> Column:
-    return c.isNotNull() & (F.length(F.trim(c)) > 1) & ~c.rlike(BLANK) & ~c.rlike(r"(?i)^\W*no abstract|^\W*abstract not available")
+    return c.isNotNull() & (F.length(F.trim(c)) > 1) & ~c.rlike(BLANK) & ~((F.length(c) < 60) & c.rlike(truncation.PLACEHOLDER.pattern))
 
 
 def grouped(papers: DataFrame, match_pairs: DataFrame) -> DataFrame:
@@ -160,11 +160,24 @@ def sound_values(rows: DataFrame, cut: DataFrame) -> DataFrame:
     return x.select("g", "t", "ordinal", F.explode(values).alias("x")).where("x is not null").select("g", "x.field", "x.value", "x.measure", "t", "ordinal")
 
 
+def _continued(values: DataFrame, papers: DataFrame) -> DataFrame:
+    """(g, field, value) of the abstracts that the longest sound one of their work continues. Texts are fetched only for
+    works with several sound abstracts, one row for each."""
+    a = values.where("field = 'abstract'")
+    several = a.groupBy("g").agg(F.min("value").alias("v1"), F.max("value").alias("v2")).where("v1 < v2").select("g")
+    one = materialize(a.join(several, "g").groupBy("g", "value").agg(F.min("ordinal").alias("ordinal"), F.max("measure").alias("measure")), "several")
+    bare = F.regexp_replace(F.regexp_replace(F.col("abstract"), r"<[^<>]{0,200}>|[\s\p{Z}]+", " "), r"[^\p{L}\p{N}]+$|(?<= ) +", "")
+    t = one.join(papers.select(F.col("ordinal").cast("bigint").alias("ordinal"), bare.alias("text")), "ordinal")
+    t = materialize(t, "texts")
+    top = t.groupBy("g").agg(F.max_by(F.struct("value", "text"), F.struct("measure", "value")).alias("x")).select("g", F.col("x.value").alias("longest"), F.col("x.text").alias("whole"))
+    return t.join(top, "g").where("value <> longest and startswith(whole, text)").select("g", F.lit("abstract").alias("field"), "value")
+
+
 def survivors(papers: DataFrame, match_pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the rows of the works, (g, field, value) of each surviving value)."""
     rows = grouped(papers, match_pairs)
     values = materialize(sound_values(rows, truncation.cut_abstracts(papers)), "values")
-    out = materialize(current(values), "survivors")
+    out = materialize(current(values.join(_continued(values, papers), ["g", "field", "value"], "left_anti")), "survivors")
     release(values)
     return rows, out
 
