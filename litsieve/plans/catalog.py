@@ -177,7 +177,7 @@ _add("dual_review", reports.dual_review, "papers", "workspace_users", sql="SELEC
 
 def _reviews(c: DataFrame) -> DataFrame:
     # in the order of resolution, open ones last; the first reviewer of a row before the second
-    when = F.coalesce(F.unix_micros("resolved_at"), F.lit(1 << 60)) * 2
+    when = F.coalesce(F.unix_micros(F.col("resolved_at").cast("timestamp")), F.lit(1 << 60)) * 2
 
     def one(i: int) -> Column:
         decision = F.nullif(F.lower(F.trim(f"reviewer{i}_decision")), F.lit(""))
@@ -395,6 +395,6 @@ _add("vocabulary_tags", lambda p: selection.vocabulary_tags(p, _phrases(p).selec
      sql=f"WITH {_MATCHES} SELECT ordinal, criterion_id AS concept, sim FROM s WHERE sim >= 0.2")
 _add("evidence_sentences", lambda p: selection.evidence(p, _phrases(p).where("size(keywords) > 0")).withColumn("sentence", F.md5("sentence")), "papers",
      sql=f"""WITH {_PHRASES}, kw AS (SELECT criterion_id, {_W_OF("string_agg(phrase, ' ')")} AS p FROM k GROUP BY 1),
- l AS (SELECT ordinal, list_filter(string_split({_TEXT}, '.'), lambda x: length(trim(x)) > 20) AS l FROM papers), s AS (SELECT ordinal, unnest(l) AS sentence, generate_subscripts(l, 1) AS at FROM l),
- v AS (SELECT *, {_W_OF('sentence')} AS w FROM s), x AS (SELECT ordinal, criterion_id, at, trim(sentence) AS sentence, round({_LIKE('w', 'p')}, 6) AS sim FROM v, kw),
- r AS (SELECT *, row_number() OVER (PARTITION BY ordinal, criterion_id ORDER BY sim DESC, at) AS place FROM x) SELECT ordinal, criterion_id, place, md5(sentence) AS sentence, sim FROM r WHERE place <= 3""")
+ l AS (SELECT ordinal, list_filter(string_split({_TEXT}, '.'), lambda x: length(trim(x)) > 20) AS l FROM papers), s AS (SELECT ordinal, unnest(l) AS sentence, generate_subscripts(l, 1) AS pos FROM l),
+ v AS (SELECT *, {_W_OF('sentence')} AS w FROM s), x AS (SELECT ordinal, criterion_id, pos, trim(sentence) AS sentence, round({_LIKE('w', 'p')}, 6) AS sim FROM v, kw),
+ r AS (SELECT *, row_number() OVER (PARTITION BY ordinal, criterion_id ORDER BY sim DESC, pos) AS place FROM x) SELECT ordinal, criterion_id, place, md5(sentence) AS sentence, sim FROM r WHERE place <= 3""")

@@ -36,7 +36,7 @@ def test_matches_sql(spark, sf, duck, name):
     assert got == sorted(tuple(canon(r[i]) for i in at) for r in rel.fetchall())
 
 
-@pytest.mark.parametrize("name", ["ingested_records", "bibtex_entries", "pagerank", "fuzzy_title_leaders", "canonical_external_ids", "effect_sizes", "meta_p_values"])
+@pytest.mark.parametrize("name", ["ingested_records", "bibtex_entries", "pagerank", "fuzzy_title_leaders", "dedup_canonical", "canonical_map", "effect_sizes", "meta_p_values"])
 def test_runs_without_sql(spark, sf, name):
     assert catalog.queries()[name](spark, sf).count() >= 0
 

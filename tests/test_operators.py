@@ -74,12 +74,40 @@ def test_fuzzy_pairs_against_brute_force_and_leaders(spark, monkeypatch):
             rows.setdefault((2020 + i % 2, n), i + 1)
     want = {tuple(sorted((a, b))) for ((y, s), a), ((z, t), b) in itertools.combinations(rows.items(), 2) if y == z and indel_ratio(s, t) >= 0.8}
     assert got == want and want
-    lead = {r.ordinal: r.leader for r in dedup.fuzzy_leaders(dedup.fuzzy_title_pairs(p, 0.8), p).collect()}
+    lead = {r.ordinal: r.leader for r in dedup.fuzzy_leaders(dedup.fuzzy_title_pairs(p, 0.8)).collect()}
     for v, l in lead.items():
         earlier = [u for u in lead if u < v and lead[u] == u and (u, v) in want]
         assert l == (min(earlier) if earlier else v)
 
 
+def test_fuzzy_pass_joins_what_the_exact_passes_left(spark):
+    t = "effects of early coaching on reading in rural schools"
+    rows = [{"title": t, "year": 2020}, {"title": t + "s", "year": 2020}, {"title": t.upper(), "year": 2020}, {"title": t, "year": 2019}, {"title": t, "year": None}, {"title": t[:-1] + "x", "year": 2020, "doi": "10.1/a"}, {"title": "other", "year": 2020, "doi": "10.1/A"}]
+    p = papers(spark, *rows)
+    got = {r.ordinal: (r.leader, r.match_type, round(r.confidence, 2)) for r in dedup.assignments(p).collect()}
+    assert got == {1: (1, "title_exact", 1.0), 2: (1, "title_fuzzy", 0.99), 3: (1, "title_exact", 1.0), 6: (6, "doi", 1.0), 7: (6, "doi", 1.0)}
+    ids = {r.paper_id: r.canonical_id for r in dedup.canonical_map(p).collect()}
+    assert len(set(ids.values())) == 4 and len(ids) == 7
+
+
+def test_cite_keys_never_repeat(spark):
+    p = papers(spark, *[{"title": "same", "year": 2020} for _ in range(800)], *[{"title": f"same{x}", "year": 2020} for x in ("a", "ab")])
+    keys = [r.cite_key for r in bibtex.keys(p).orderBy("ordinal").collect()]
+    assert len(set(keys)) == 802 and keys[:3] == ["unknown_2020_same", "unknown_2020_samea", "unknown_2020_sameb"] and keys[27] == "unknown_2020_sameaa"
+
+
+def test_writers(spark, tmp_path):
+    from litsieve.sources import writers
+
+    p = papers(spark, {"title": "A, \"quoted\"", "year": 2020}, {"title": None})
+    writers.write_phase(p, str(tmp_path), "dedup")
+    assert spark.read.parquet(f"{tmp_path}/dedup.parquet").count() == spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/dedup.csv").count() == 2
+    writers.write_json(p, f"{tmp_path}/x.json")
+    writers.write_bibtex(p, f"{tmp_path}/x.bib", 1)
+    assert spark.read.json(f"{tmp_path}/x.json").count() == 2
+    assert sum(r.value.startswith("@") for r in spark.read.text(f"{tmp_path}/x.bib").collect()) == 1
+
+
 def test_empty_tables(spark):
     e = papers(spark).limit(0)
     assert dedup.canonical(e).count() == 0 and dedup.summary(e).first().before == 0 and dedup.fuzzy_title_pairs(e).count() == 0
@@ -249,9 +277,9 @@ def test_round_robin_and_conflicts(spark):
     users = spark.createDataFrame([("u1",), ("u2",)], "user_id string")
     assert [r.user_id for r in reports.round_robin(p, users).orderBy("ordinal").collect()] == ["u1", "u2", "u1"]
     assert reports.round_robin(p, users.limit(0)).count() == 0 and reports.dual_review(p, users.limit(1)).count() == 3
-    v = spark.createDataFrame([("p", "a", "include"), ("p", "b", "include"), ("p", "c", "exclude"), ("q", "a", "include")], "paper_id string, reviewer string, decision string")
+    v = spark.createDataFrame([("p", "a", "include", 3), ("p", "b", "include", 1), ("p", "c", "exclude", 2), ("q", "a", "include", 1)], "paper_id string, reviewer string, decision string, place int")
     r = reports.conflicts(v).collect()
-    assert [(x.paper_id, x.reviewer_1, x.reviewer_2) for x in r] == [("p", "a", "b")]
+    assert [(x.paper_id, x.reviewer_1, x.reviewer_2) for x in r] == [("p", "b", "c")]
 
 
 def test_bibtex(spark):
