@@ -44,5 +44,25 @@ def queries() -> dict[str, Query]:
     }
 
 
+_DOI = r"regexp_replace(regexp_replace(regexp_replace(lower(doi), '\s+', '', 'g'), '^(https?:/+)?(dx\.)?(www\.)?(doi\.org/)?(doi:)?/*', ''), '[.,;]+$', '')"
+_ARXIV = r"regexp_replace(lower(arxiv_id), '\s+', '', 'g')"
+for _pattern in (r"^(https?://)?(www\.)?(arxiv\.org/(abs|pdf)/)?(arxiv:)?", r"(\.pdf)?$", "v[0-9]+$"):
+    _ARXIV = f"regexp_replace({_ARXIV}, '{_pattern}', '')"
+#: Every record with all that it reaches: for small tables only.
+_GROUPS = rf"""WITH RECURSIVE k AS (
+ SELECT paper_id, 'doi ' || x AS key FROM (SELECT paper_id, {_DOI} AS x FROM papers)
+ WHERE regexp_matches(x, '^10\.[0-9]{{4,9}}(\.[0-9]+)*/[^\s]+$') AND NOT regexp_matches(x, '^10\.0+/|/(unknown|none|null|n/?a|na|tbd|test|x+|0+|-+)$')
+ UNION SELECT paper_id, 'arxiv ' || x FROM (SELECT paper_id, {_ARXIV} AS x FROM papers)
+ WHERE regexp_matches(x, '^([0-9]{{2}}(0[1-9]|1[0-2])\.[0-9]{{4,5}}|[a-z-]+(\.[a-z]{{2}})?/[0-9]{{7}})$')),
+ e AS (SELECT paper_id_a AS a, paper_id_b AS b FROM match_pairs WHERE paper_id_a <> paper_id_b
+ UNION SELECT m.a, k.paper_id FROM k JOIN (SELECT key, min(paper_id) AS a FROM k GROUP BY 1) m USING (key) WHERE k.paper_id <> m.a),
+ l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ r(v, w) AS (SELECT a, a FROM l UNION SELECT r.v, l.b FROM r JOIN l ON r.w = l.a),
+ g AS (SELECT v AS paper_id, min(w) AS group_id FROM r WHERE v IN (SELECT paper_id FROM papers) AND w IN (SELECT paper_id FROM papers) GROUP BY 1 HAVING count(*) > 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p6_found": f"{_GROUPS} SELECT paper_id, group_id FROM g",
+        "p6_group_sizes": f"{_GROUPS}, n AS (SELECT group_id, count(*) AS records FROM g GROUP BY 1) SELECT records, count(*) AS n_groups FROM n GROUP BY 1",
+    }
