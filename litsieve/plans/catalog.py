@@ -342,7 +342,19 @@ _SQL["search_matrix"] = f"WITH {_SYS} SELECT domain, CASE WHEN source = 'semanti
 
 # --- ingestion, nested records, streams -----------------------------------------------------------------------------------
 _add("ingested_records", lambda c: ingest.page_records(c).select("row_id", "database", "paper_id", "doi", "title", "year", "citation_count", F.array_join(F.transform("authors", lambda a: a["name"]), "; ").alias("authors"), F.array_join("fields_of_study", "; ").alias("fields"), "open_access_pdf"), "cached_pages")
-_add("p2_found", lambda p, c: nested.object_paths(nested.corpus_texts(p, c)), "papers", "cached_pages")
+
+
+def _unwrapped(c: str) -> str:
+    """A JSON string's content; anything else as it is."""
+    t = f"trim({c}, ' \t\r\n' || chr(65279) || chr(0))"
+    return f"CASE WHEN {t} LIKE '\"%' THEN CASE WHEN json_valid({t}) THEN json_extract_string({t}, '$') END ELSE {c} END"
+
+
+_add("p2_found", lambda p, c: nested.object_paths(nested.corpus_texts(p, c)), "papers", "cached_pages",
+     sql=f"""WITH t AS (SELECT 'papers' AS origin, ordinal AS row_id, raw_data AS text FROM papers UNION ALL SELECT 'cached_pages', id, raw_response FROM cached_pages),
+ u AS (SELECT origin, row_id, regexp_extract({_unwrapped(_unwrapped(_unwrapped('text')))}, '(?s)[{{\\[].*[}}\\]]') AS j FROM t),
+ v AS (SELECT * FROM u WHERE json_valid(j)), w AS (SELECT v.origin, v.row_id, x.fullkey, x.type FROM v, json_tree(v.j) x)
+SELECT origin, row_id, replace(regexp_replace(fullkey, '^\\$\\.?', ''), '"', '') AS path FROM w WHERE type = 'OBJECT' AND fullkey <> '$'""")
 for _name, _fn in (("works", nested.work_table), ("authors", nested.author_table), ("affiliations", nested.affiliation_table)):
     _add(f"p2_{_name}", lambda p, c, f=_fn: f(nested.json_objects(nested.corpus_texts(p, c), True)), "papers", "cached_pages")
 _add("living_update", living.replay, "papers",
