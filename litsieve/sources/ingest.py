@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litsieve.functions.ids import normalize_doi
+from litsieve.functions.ids import normalize_arxiv, normalize_doi
 from litsieve.functions.text import clean_abstract, parse_date
 
 OPENALEX = (
@@ -110,6 +110,28 @@ def arxiv(texts: DataFrame) -> DataFrame:
     )
 
 
+#: An Atom feed; elements by their local names, attributes with an underscore.
+ATOM = (
+    "entry array<struct<id:string,title:string,summary:string,published:string,doi:string,author:array<struct<name:string>>,"
+    "primary_category:struct<_term:string>,category:array<struct<_term:string>>,link:array<struct<_href:string,_title:string>>>>"
+)
+
+
+def arxiv_atom(feeds: DataFrame) -> DataFrame:
+    """Records of Atom feeds (row_id, text), read by Spark's own XML parser. An entry without a title is "Untitled"; the
+    primary category comes first; a feed that cannot be read, or has no entry, gives no rows."""
+    e = feeds.select("row_id", F.explode(F.from_xml("text", ATOM, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})["entry"]).alias("w"))
+    w = F.col("w")
+    i = normalize_arxiv(F.element_at(F.split(F.trim(w["id"]), "/"), -1))
+    terms = F.array_compact(F.concat(F.array(w["primary_category"]["_term"]), F.coalesce(F.transform(w["category"], lambda c: c["_term"]), F.array().cast("array<string>"))))
+    pdf = F.try_element_at(F.filter(w["link"], lambda l: l["_title"] == "pdf"), F.lit(1))["_href"]
+    d = parse_date(w["published"])
+    return _record(
+        e, "arxiv", external_id=i, doi=F.nullif(F.trim(w["doi"]), F.lit("")), arxiv_id=i, title=F.coalesce(F.nullif(F.trim(w["title"]), F.lit("")), F.lit("Untitled")), abstract=clean_abstract(w["summary"]),
+        authors=F.transform(w["author"], lambda a: author(a["name"])), year=F.year(d), publication_date=d, venue=F.lit("arXiv"), fields_of_study=F.array_distinct(terms), is_open_access=F.lit(True), open_access_pdf=pdf,
+    )
+
+
 #: Where each database's pages keep their records.
 LISTS = {"openalex": "$.results", "semantic_scholar": "$.data", "crossref": "$.message.items", "arxiv": "$.feed.entry"}
 READERS = {"openalex": openalex, "semantic_scholar": semantic_scholar, "crossref": crossref, "arxiv": arxiv}

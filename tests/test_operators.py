@@ -311,6 +311,16 @@ def test_ingestion_of_irregular_records(spark):
     assert (r.doi, r.title, r.authors[0].name, str(r.publication_date), r.open_access_pdf, r.venue) == ("10.1/a", "First", "G F", "2020-02-01", "p", "J")
 
 
+def test_atom_feeds(spark):
+    feed = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom"><title>q</title>
+    <entry><id>http://arxiv.org/abs/2401.00001v2</id><title> T one </title><summary>An  abstract.</summary><published>2024-01-02T03:04:05Z</published><arxiv:doi>10.1/x</arxiv:doi>
+    <author><name>Ann Lee</name></author><author><name>Bo Kim</name></author><arxiv:primary_category term="cs.DL"/><category term="cs.IR"/><category term="cs.DL"/>
+    <link href="http://arxiv.org/abs/2401.00001v2" rel="alternate"/><link title="pdf" href="http://arxiv.org/pdf/2401.00001v2"/></entry><entry><id>http://arxiv.org/abs/2401.00002</id></entry></feed>"""
+    r = ingest.arxiv_atom(spark.createDataFrame([(1, feed), (2, "<feed/>"), (3, "broken"), (4, None)], "row_id bigint, text string")).orderBy("paper_id").collect()
+    assert [(x.paper_id, x.title) for x in r] == [("arxiv:2401.00001", "T one"), ("arxiv:2401.00002", "Untitled")]
+    assert (r[0].doi, r[0].abstract, [a.name for a in r[0].authors], r[0].year, r[0].fields_of_study, r[0].open_access_pdf) == ("10.1/x", "An abstract.", ["Ann Lee", "Bo Kim"], 2024, ["cs.DL", "cs.IR"], "http://arxiv.org/pdf/2401.00001v2")
+
+
 def test_living_update_is_repeatable(spark, tmp_path):
     cols = ["paper_id", "ordinal", "doi", "title"]
     old = spark.createDataFrame([("a", 1, None, "A")], "paper_id string, ordinal bigint, doi string, title string")
