@@ -91,6 +91,21 @@ def test_undated_counts_are_ordered_by_what_was_learned(spark):
     assert got == {3, 6, 9, 12, 14, 15}
 
 
+@pytest.mark.parametrize("grows", [True, False])
+def test_learned_precedence_places_undated_values(spark, grows):
+    order = (1, 2, 3) if grows else (3, 2, 1)
+    rows = [(f"w{k}", f, str(m), m, f"2025-01-0{i + 1}", 10 * k + i) for f in survivor.FIELDS for k in range(6) for i, m in enumerate(order)]
+    # 9 lies behind what grows, 0 behind what falls; without a learned way the dated value stays
+    rows += [(g, f, str(m), m, t, n) for f in survivor.FIELDS for g, m, t, n in (("x", 5, "2025-01-01", 900), ("x", 9, None, 901), ("x", 0, None, 902), ("y", 7, None, 903), ("y", 4, None, 904))]
+    values = spark.createDataFrame(rows, "g string, field string, value string, measure bigint, t string, ordinal bigint").withColumn("t", F.col("t").cast("timestamp"))
+    assert survivor.directions(values) == dict.fromkeys(survivor.FIELDS, 1 if grows else -1)
+    got = {(r.field, r.g): r.value for r in survivor.current(values).where("g in ('x', 'y')").collect()}
+    assert got == {(f, g): v for f in survivor.FIELDS for g, v in (("x", "9" if grows else "0"), ("y", "7" if grows else "4"))}
+    still = values.where("g in ('x', 'y')")
+    assert survivor.directions(still) == dict.fromkeys(survivor.FIELDS, 0)
+    assert {r.value for r in survivor.current(still).where("g = 'x'").collect()} == {"5"}
+
+
 @pytest.mark.parametrize("short,long,want", [("J Screen Meth", "Journal of Screening Methods", True), ("OLPH", "Open Letters in Public Health", True), ("Proc. WRA", "Proceedings of the Workshop on Review Automation", True), ("arXiv", "Journal of Screening Methods", False), ("Fair Journal", "Fair Algorithms Journal", False), (None, "x", False), ("Cah Synth Clin", "Cahiers de Synthèse Clinique", True)])
 def test_abbreviations(short, long, want):
     assert survivor.abbreviates(short, long) is want

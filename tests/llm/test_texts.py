@@ -43,6 +43,13 @@ def test_truncation_on_held_out_truth(spark):
     assert len(got) == 800 and hit / sum(truth.values()) > 0.9 and hit / max(1, sum(got.values())) > 0.9
 
 
+def test_the_end_of_a_text_does_not_depend_on_what_is_read():
+    body = "The trial compared early coaching with usual care in rural clinics and found no difference. " * 30
+    for tail in ("", " " * 900, "<p class='" + "x" * 150 + "'></p>" * 40, "&amp;" * 300, " cut of\n" + "\t " * 3000):
+        whole, end = truncation._read(body + tail), truncation._read(body + tail, tail=True)
+        assert whole[0][-truncation.TAIL :] == end[0][-truncation.TAIL :] and whole[1:] == end[1:]
+
+
 def test_truncation_edge_cases(spark):
     odd = [(9001, "s", None), (9002, "s", ""), (9003, "s", "n/a"), (9004, "s", "No abstract available."), (9005, "s", "The trial compared early coaching with..."), (9006, None, "The cohort followed adults for many [truncated]"), (9007, "s", " \n "), (9008, "s", "x" * 300_000)]
     rows = [r[:3] for r in abstracts(300)] + odd + [(9005, "s", "The trial compared early coaching with...")]
