@@ -78,3 +78,10 @@ def test_empty_table_and_clashing_columns(spark):
     c = spark.createDataFrame([(1, '{"a": {}}', "x", 5)], "id bigint, raw_response string, path string, row_id int")
     got = nested.object_paths(nested.corpus_texts(p, c)).collect()
     assert [tuple(r) for r in got] == [("cached_pages", 1, "a")]
+
+
+def test_any_number_of_wrappings():
+    text = '{"a": [{}]}'
+    for _ in range(12):
+        text = json.dumps(text)
+    assert nested.unwrap(text) == '{"a": [{}]}'
