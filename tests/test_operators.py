@@ -196,6 +196,24 @@ def test_pagerank_and_betweenness_against_brute_force(spark):
     assert all(got[x] == pytest.approx(want[x]) for x in n)
 
 
+def test_betweenness_sends_no_links_to_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    p = papers(spark, *[{"paper_id": i} for i in "ABCDE"])
+    nodes, links = graph.graph(edges(spark, ("A", "B"), ("B", "C"), ("C", "D"), ("A", "D"), ("A", "D"), ("D", "E")), p)
+
+    def none(*a):
+        raise AssertionError("rows of the graph sent to the driver")
+
+    with monkeypatch.context() as x:
+        for f in ("toPandas", "collect", "toLocalIterator"):
+            x.setattr(DataFrame, f, none)
+        x.setattr(graph, "MAX_LINKS", 1, raising=False)  # however many there are
+        b = graph.betweenness(nodes, links, normalized=False)
+    # A reaches D by the repeated reference, two long, and not by B and C, three long
+    assert {r.id: r.betweenness for r in b.collect()} == {"A": 0.0, "B": 1.0, "C": 2.0, "D": 3.0, "E": 0.0}
+
+
 def effects(spark, *rows):
     return spark.createDataFrame([(f"s{i}", *r) for i, r in enumerate(rows)], "study_id string, effect double, se double")
 
