@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from litsieve.functions.ids import arxiv_key, doi_key
 from litsieve.llm.crossmatch import near
-from litsieve.session import join_checked, materialize, release
+from litsieve.session import join_checked, materialize, release, tidy
 
 TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "mx", "phd", "md", "msc", "bsc", "ma", "ba", "rn", "jr", "sr", "dphil", "mph", "frcp", "sir", "dame"}
 PARTICLES = {"van", "von", "de", "der", "den", "del", "della", "di", "da", "dos", "du", "la", "le", "el", "al", "bin", "ibn", "ter", "ten", "zu", "af", "av"}
@@ -280,6 +280,7 @@ def _multi(keys: DataFrame) -> DataFrame:
 def _moves(multi: DataFrame) -> DataFrame:
     """(b, t): profiles of consistent blocks with the smaller profile each is merged into. What a chain leaves apart
     shares its keys again in the next round."""
+    tidy(multi.sparkSession)
     blocks = materialize(_judged(multi).where("one or mixed"), "blocks")
     parts = multi.where("m is not null").join(blocks.where("mixed").select("key"), "key").select(F.xxhash64("key", "m").alias("key"), "f", "pid", *FACTS)
     split = parts.select("key", "pid").join(_judged(parts).where("one").select("key", "a", "ob"), "key")
@@ -319,6 +320,7 @@ def organisations(affiliations: DataFrame) -> DataFrame:
         forms = f.join(step.withColumnRenamed("b", "pid"), "pid", "left").select(F.coalesce("t", "pid").alias("pid"), "letters", "code")
         old, moved = moved, step if moved is None else materialize(_further(moved, step), "moved")
         release(old)
+        tidy(f.sparkSession)
     out = parsed.select("affiliation_id", "affiliation")
     if moved is None:
         return out.withColumn("org", F.col("affiliation_id"))
@@ -552,6 +554,7 @@ def people(m: DataFrame, links: DataFrame) -> DataFrame:
     # a given name that is like no other has no key for slips
     alone = givens.groupBy("code").agg(F.when(F.count("*") == 1, 1).otherwise(0).alias("alone"))
     givens = materialize(givens.join(alone, "code"), "givens")
+    tidy(m.sparkSession)
     first = materialize(_mention_keys(m, links), "keys")
     multi = _multi(first)
     state = _State(m, _moves(multi), (words, givens))
@@ -561,6 +564,7 @@ def people(m: DataFrame, links: DataFrame) -> DataFrame:
     release(first)
     weak = False
     while True:
+        tidy(m.sparkSession)
         if not moves.isEmpty():
             moves = _later_round(state, state.follow(moves))
         elif not weak:  # from here on weak and strong keys are tried together

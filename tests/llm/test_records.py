@@ -207,6 +207,35 @@ def test_people_and_organisations(spark):
     assert names.same_names(authors.limit(0), aff.limit(0), p, m).count() == 0
 
 
+def test_each_round_of_names_clears_what_earlier_ones_left(spark, monkeypatch):
+    import time
+
+    from litsieve import session
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {x for x in disk.getAllFiles().mkString(" ").split() if "shuffle_" in x}
+    old = shuffled()
+    for _ in range(5):
+        spark.range(1000).repartition(7).count()
+    own, end = shuffled() - old, time.time() + 20
+    assert own
+    while len(shuffled() & own) > len(own) / 5 and time.time() < end:  # the last step may be held yet
+        session.tidy(spark)
+        time.sleep(0.2)
+    assert len(shuffled() & own) <= len(own) / 5
+
+    did = []
+    for f in ("_moves", "tidy"):
+        monkeypatch.setattr(names, f, lambda *a, f=f, to=getattr(names, f): did.append(f) or to(*a))
+    A = "mention_id bigint, ordinal bigint, database string, author_position int, name string, author_id string, orcid string, affiliation string"
+    authors = spark.createDataFrame([(1, 1, "d", 1, "Smith, Anna", None, None, "Univ. Reiplim"), (2, 2, "d", 1, "Smith, A.", None, None, "Univ. Reiplim")], A)
+    aff = spark.createDataFrame([(1, "Univ. Reiplim")], "affiliation_id bigint, affiliation string")
+    p = spark.createDataFrame([], "ordinal bigint, paper_id string, doi string, arxiv_id string")
+    pairs = spark.createDataFrame([], "paper_id_a string, paper_id_b string")
+    got = {(r.kind, r.id_a, r.id_b) for r in names.same_names(authors, aff, p, pairs).collect()}
+    assert got == {("person", 1, 2)} and did.count("_moves") > 2 and did.count("tidy") >= 2 * did.count("_moves")
+
+
 def test_found_queries_have_their_columns(spark, sf):
     from litsieve.llm import catalog
 
