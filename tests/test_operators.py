@@ -214,6 +214,21 @@ def test_betweenness_sends_no_links_to_the_driver(spark, monkeypatch):
     assert {r.id: r.betweenness for r in b.collect()} == {"A": 0.0, "B": 1.0, "C": 2.0, "D": 3.0, "E": 0.0}
 
 
+def test_influence_with_betweenness_sends_no_links_to_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def none(*a):
+        raise AssertionError("rows of the graph sent to the driver")
+
+    p = papers(spark, *[{"paper_id": i} for i in "ABC"])
+    e = edges(spark, ("A", "B"), ("B", "C"))
+    with monkeypatch.context() as x:
+        x.setattr(DataFrame, "toPandas", none)
+        x.setattr(graph, "MAX_LINKS", 1, raising=False)  # however many there are
+        r = graph.full_influence(e, p)
+    assert {x.paper_id: x.betweenness for x in r.collect()} == {"A": 0.0, "B": 0.5, "C": 0.0}
+
+
 def effects(spark, *rows):
     return spark.createDataFrame([(f"s{i}", *r) for i, r in enumerate(rows)], "study_id string, effect double, se double")
 
