@@ -207,6 +207,27 @@ def test_people_and_organisations(spark):
     assert names.same_names(authors.limit(0), aff.limit(0), p, m).count() == 0
 
 
+def test_tidy_returns_native_memory_to_the_system(spark):
+    import re
+    from pathlib import Path
+
+    from litsieve import session
+
+    jvm = spark._jvm
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status").read_text())[1]) / 1024
+    made = [jvm.java.util.zip.Deflater() for _ in range(800)]  # some 256 KB outside the heap each
+    for _ in range(3):
+        spark.sparkContext._jvm.System.gc()
+    full = held()
+    for x in made[::2]:  # between others that stay, so that the C library keeps it
+        x.end()
+    assert held() > full - 20
+    session.tidy(spark)
+    assert held() < full - 40
+    for x in made[1::2]:
+        x.end()
+
+
 def test_each_round_of_names_clears_what_earlier_ones_left(spark, monkeypatch):
     import time
 
