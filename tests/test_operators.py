@@ -145,6 +145,24 @@ def test_the_registered_ranking_counts_betweenness(spark, tmp_path):
     assert got["M"] == pytest.approx(without["M"] + graph.WEIGHTS["betweenness"]) and got["T"] == pytest.approx(without["T"])
 
 
+def test_the_registered_ranking_looks_for_duplicates_once_and_reads_written_tables(spark, tmp_path, monkeypatch):
+    from litsieve import session
+    from litsieve.plans import catalog
+
+    rows = [("A", "one and the same title of a work"), ("B", "one and the same titles of a work"), ("C", "another thing"), ("D", "what nobody cites")]
+    papers(spark, *[{"paper_id": i, "doi": f"10.1/{i}", "title": t, "year": 2020} for i, t in rows]).write.parquet(f"{tmp_path}/papers.parquet")
+    edges(spark, ("C", "A"), ("C", "B"), ("D", "C")).write.parquet(f"{tmp_path}/citation_edges.parquet")
+    did, read = [], []
+    for at, f in ((dedup, "_similar"), (graph, "tidy"), (dedup, "tidy")):
+        monkeypatch.setattr(at, f, lambda *a, f=f, to=getattr(session, f, dedup._similar): did.append(f) or to(*a), raising=False)
+    for f in ("pagerank", "betweenness"):
+        monkeypatch.setattr(graph, f, lambda n, l, to=getattr(graph, f): read.extend([*n.inputFiles(), *l.inputFiles()]) or to(n, l))
+    got = {r.paper_id: (r.rank, r.in_degree) for r in catalog.queries()["influence_ranked"](spark, str(tmp_path)).collect()}
+    assert {i: d for i, (_, d) in got.items()} == {"A": 1, "C": 1, "D": 0}  # B is A's
+    assert did.count("_similar") == 1 and did.count("tidy") > 1
+    assert read and not [x for x in read if str(tmp_path) in x]
+
+
 def test_no_edges_and_self_citations(spark):
     p = papers(spark, {"paper_id": "a"}, {"paper_id": "b"})
     for e in (edges(spark, ("a", "a")), edges(spark, (None, "b")), edges(spark, ("a", None))):
